@@ -38,7 +38,7 @@ MAX_WORDS = 400_000
 #: Bits of an id in the literal rank map: a pair of ids and the id it makes share one 64-bit integer.
 ID_BITS = 20
 #: Stands for "no such pair" among ranks.
-NO_RANK = (1 << 31) - 1
+NO_RANK = (1 << 20) - 1
 #: A space between two characters that aren't white space always begins a word, so texts can be cut there.
 SEAM = re.compile(r"(?<=\S) (?=\S)")
 
@@ -93,29 +93,37 @@ def _slots(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
 def fold_expression(ranks: dict[bytes, int], word: str) -> str:
     """SQL for the ids that the byte ids in the array ``word`` merge to.
 
-    The state is the word's pieces (ids) and the rank of each neighbouring
-    pair; a step joins the leftmost pair of the least rank, whose id that rank
-    is, and looks up the two pairs that this makes.  As many steps as the word
-    has bytes are enough; further steps change nothing.
+    The state is one array of 64-bit integers, a piece each: the rank of the
+    piece joined with its right neighbour, the piece's first byte, its id.  Its
+    least entry is the leftmost pair of the least rank; a step gives that
+    piece its new id, drops its neighbour and looks up the two pairs that this
+    makes.  As many steps as the word has bytes are enough; further steps
+    change nothing.
     """
     shifts, slots = _slots(pair_ranks(ranks))
+    low = (1 << ID_BITS) - 1
 
     def rank(left: str, right: str) -> str:
+        """The rank of two neighbouring ids, NO_RANK without such a token or a right neighbour."""
         key = f"(({left}) * {1 << ID_BITS}L + ({right}))"
         slot = f"get(slots, cast((({key} % 2147483629) + get(shifts, cast({key} % {len(shifts)} as int))) % {len(slots)} as int))"
-        return _let("t", slot, f"CASE WHEN shiftright(t, {ID_BITS}) = {key} THEN cast(t & {(1 << ID_BITS) - 1} as int) ELSE {NO_RANK} END")
-
-    rest = 1 << 30
-    start = f"struct({word} as p, transform(slice({word}, 2, {rest}), (b, i) -> {rank(f'get({word}, i)', 'b')}) as r)"
-    joined = (
-        f"struct(concat(slice(s.p, 1, i - 1), array(m), slice(s.p, i + 2, {rest})) as p,"
-        f" concat(CASE WHEN i > 1 THEN concat(slice(s.r, 1, i - 2), array({rank('get(s.p, i - 2)', 'm')})) ELSE array() END,"
-        f" CASE WHEN i < size(s.r) THEN concat(array({rank('m', 'get(s.p, i + 1)')}), slice(s.r, i + 2, {rest})) ELSE array() END) as r)"
+        return f"CASE WHEN shiftright({slot}, {ID_BITS}) = {key} THEN {slot} & {low} ELSE {NO_RANK}L END"
+
+    def piece(rank_sql: str, at: str, own: str) -> str:
+        return f"shiftleft({rank_sql}, {2 * ID_BITS}) + ({at}) * {1 << ID_BITS}L + ({own})"
+
+    at_of, id_of = (lambda x: f"shiftright({x}, {ID_BITS}) & {low}"), (lambda x: f"{x} & {low}")
+    merged = f"shiftright(m, {2 * ID_BITS})"
+    start = f"transform({word}, (b, i) -> {piece(rank('b', f'get({word}, i + 1)'), 'i', 'b')})"
+    changed = (
+        f"transform(s, (x, i) -> CASE WHEN x = m THEN {piece(rank(merged, id_of('get(s, i + 2)')), at_of('x'), merged)}"
+        f" WHEN get(s, i - 1) = m THEN NULL"
+        f" WHEN get(s, i + 1) = m THEN {piece(rank(id_of('x'), merged), at_of('x'), id_of('x'))} ELSE x END)"
     )
-    step = _let("m", "array_min(s.r)", f"CASE WHEN m = {NO_RANK} THEN s ELSE {_let('i', 'cast(array_position(s.r, m) as int)', joined)} END")
-    fold = f"aggregate(slice({word}, 3, {rest}), {start}, (s, _) -> {step}, s -> {_let('m', 'array_min(s.r)', f'CASE WHEN m = {NO_RANK} THEN s.p ELSE array(m) END')})"
+    step = _let("m", "array_min(s)", f"CASE WHEN m >= {NO_RANK << (2 * ID_BITS)}L THEN s ELSE filter({changed}, x -> x IS NOT NULL) END")
+    fold = f"aggregate(slice({word}, 2, {1 << 30}), {start}, (s, _) -> {step}, s -> transform(s, x -> cast({id_of('x')} as int)))"
     literals = [f"from_json('{json.dumps(x, separators=(',', ':'))}', 'array<{kind}>')" for x, kind in ((shifts, "int"), (slots, "bigint"))]
-    return _let("shifts", literals[0], _let("slots", literals[1], f"CASE WHEN size({word}) < 2 THEN {word} ELSE {fold} END"))
+    return _let("shifts", literals[0], _let("slots", literals[1], fold))
 
 
 def _words_first(pattern: str, sent, max_words: int):
@@ -146,7 +154,7 @@ def _words_first(pattern: str, sent, max_words: int):
                 {
                     "id": pa.concat_arrays([pa.nulls(n, pa.int64()), batch.column(0)]),
                     "text": pa.array(fresh + texts, pa.string()),
-                    "word": pa.array([[byte_ids[b] for b in w.encode()] for w in fresh] + [None] * len(texts), pa.list_(pa.int32())),
+                    "word": pa.array([[byte_ids[b] for b in w.encode()] for w in fresh] + [None] * len(texts), pa.list_(pa.int64())),
                     "begin": pa.array([False] * (n + len(texts) - 1) + [begin], pa.bool_()),
                 }
             )
@@ -197,7 +205,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     """Each row's id and ``ids``: its text's token ids as little-endian unsigned 32-bit integers."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marked = rows.mapInArrow(_words_first(pattern, sent, max_words), "id long, text string, word array<int>, begin boolean")
+    marked = rows.mapInArrow(_words_first(pattern, sent, max_words), "id long, text string, word array<bigint>, begin boolean")
     folded = marked.withColumn("ids", F.expr(f"CASE WHEN word IS NOT NULL THEN {fold_expression(ranks, 'word')} END"))
     return folded.mapInArrow(_put_together(pattern, sent), "id long, ids binary").withColumnRenamed("id", id_col)
 
