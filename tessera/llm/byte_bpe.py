@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word list of this many entries is dropped and begun again.
-MAX_WORDS = 400_000
+MAX_WORDS = 1_000_000
 #: Bits of an id in the literal rank map: a pair of ids and the id it makes share one 64-bit integer.
 ID_BITS = 20
 #: Stands for "no such pair" among ranks.
