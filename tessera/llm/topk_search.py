@@ -108,7 +108,8 @@ def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def _meet(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Queries (block, bucket, id, vec, floor) against vectors (block, bucket, id, vec), each block and bucket in one task."""
-    return queries.groupBy("block", "bucket").cogroup(vectors.groupBy("block", "bucket")).applyInPandas(lambda a, b: _best(a, b, k), _HITS)
+    both = queries.withColumn("asks", F.lit(True)).unionByName(vectors.withColumns({"floor": F.lit(0.0), "asks": F.lit(False)}))
+    return both.groupBy("block", "bucket").applyInPandas(lambda x: _best(x[x["asks"]], x[~x["asks"]], k), _HITS)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
