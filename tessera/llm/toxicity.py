@@ -38,8 +38,8 @@ FIT_ROWS = 60_000
 MODEL_WORDS = 50_000
 #: Letters of a word's openings that are counted like words; marked so that no word equals them.
 OPENINGS = (4, 5, 6)
-#: Cost of a word that isn't toxic; strength of the prior, as a share of all uses; least z-score, log-odds and toxic texts of a toxic word.
-NEUTRAL, PRIOR, Z_LEAST, ODDS_LEAST, USES = -0.7, 0.02, 2.5, 1.5, 4
+#: Cost of a word that isn't toxic; strength of the prior, as a share of all uses; log-odds and toxic texts of a toxic word at least.
+NEUTRAL, PRIOR, ODDS_LEAST, USES = -0.7, 0.02, 1.5, 4
 #: Expected chance segments below which a passage is significant.
 E_MAX = 0.05
 WORD = re.compile(r"[^\W\d_]+")
@@ -151,8 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     drawn = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(drawn, "id").select("text", "toxic").dropDuplicates()
     counted = sample.mapInArrow(_count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    totals = counted.withColumn("part", F.col("word").startswith("^")).groupBy("part").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.count("*").alias("kinds"))
-    sums = {x["part"]: (x["c"], x["t"]) for x in totals.collect()}
+    totals = counted.withColumn("part", F.col("word").startswith("^")).groupBy("part").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.count_if(F.col("t") >= USES).alias("tested"))
+    found = totals.collect()
+    sums = {x["part"]: (x["c"], x["t"]) for x in found}
+    # the more words are tested, the larger is the largest z-score of a word that means nothing
+    z_least = max(2.0, math.sqrt(2 * math.log(1 + sum(x["tested"] for x in found))) - 1.4)
     model = Model()
     clean_words, toxic_words = sums.get(False, (0, 0))
     if not clean_words or not toxic_words:
@@ -161,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     a, strength = f"({PRIOR}D * (c + t))", PRIOR * (clean_words + toxic_words)
     odds = f"ln((t + {a}) / ({toxic_words + strength}D - t - {a})) - ln((c + {a}) / ({clean_words + strength}D - c - {a}))"
     scored = counted.filter(f"t >= {USES}").withColumn("odds", F.expr(odds)).filter(f"odds >= {ODDS_LEAST}").withColumn("z", F.expr(f"odds / sqrt(1D / (t + {a}) + 1D / (c + {a}))"))
-    kept = scored.filter(f"z >= {Z_LEAST}").orderBy(F.desc("z"), "word").limit(MODEL_WORDS).collect()
+    kept = scored.filter(f"z >= {z_least}").orderBy(F.desc("z"), "word").limit(MODEL_WORDS).collect()
     model.scores = {x["word"]: float(x["odds"]) for x in kept}
     if not model.scores:
         return model
