@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.runtime import settle
+from tessera.llm.runtime import discard, settle
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         hung = small.selectExpr("b AS a", "m AS b").union(small.selectExpr("a", "m AS b")).filter("a <> b")
-        edges = settle(hung.distinct(), "small-star")
+        old, edges = edges, settle(hung.distinct(), "small-star")
+        discard(old, large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -31,11 +31,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.runtime import parallelism, settle
+from tessera.llm.runtime import discard, parallelism, settle, small_side
 
 #: Counters of the frequency sketch, a power of two; a broadcast of one byte each.
 SKETCH = 1 << 20
@@ -43,6 +43,8 @@ SKETCH = 1 << 20
 CELL = 1 << 14
 #: Largest number of shared prefix shingles asked for, and a verification's cost in list entries.
 MOST, VERIFY = 4, 32
+#: Pairs that are compared in full at once, besides two for each entry.
+FEW_PAIRS = 100_000
 #: Rounds of leaders before all pairs of different groups are compared.
 ROUNDS = 4
 #: A worker's remembered words; the memory is emptied beyond.
@@ -178,11 +180,13 @@ def _sets(n: int):
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold by their whole sets."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = settle(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(n), "id long, set array<long>"), "sets")
+    wanted = settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+    sets = settle(texts.join(small_side(wanted), "id", "left_semi").mapInArrow(_sets(n), "id long, set array<long>"), "sets")
     met = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     common = met.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("all"))
-    return settle(common.filter(F.col("both") * 100 >= (F.col("all") - F.col("both")) * threshold).select("a", "b"), "links")
+    links = settle(common.filter(F.col("both") * 100 >= (F.col("all") - F.col("both")) * threshold).select("a", "b"), "links")
+    discard(wanted, sets)
+    return links
 
 
 def _near_size(a: str, b: str, threshold: int) -> str:
@@ -201,6 +205,12 @@ def _divided(lists: DataFrame) -> DataFrame:
     return lists.join(several, "token", "left_semi")
 
 
+def _cross_pairs(lists: DataFrame) -> int:
+    """Pairs of entries of one list and different groups, over all lists."""
+    sizes = lists.groupBy("token", "grp").agg(F.count("*").alias("k")).groupBy("token").agg(F.expr("(sum(k) * sum(k) - sum(k * k)) div 2").alias("pairs"))
+    return sizes.agg(F.coalesce(F.sum(F.col("pairs").cast("decimal(38,0)")), F.lit(0))).first()[0]
+
+
 def similar_groups(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id for each row of ``docs``; threshold in percent."""
     spark = docs.sparkSession
@@ -211,16 +221,20 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str
     reps = settle(members.groupBy("key").agg(F.min("id").alias("rep")), "reps")
     sent = spark.sparkContext.broadcast(_weights(described))
     # an id that repeats with other texts is one node with several sets; its rows are all read
-    texts = rows.filter("id IS NOT NULL").join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    copies = settle(members.select("id").distinct().join(reps.select(F.col("rep").alias("id")), "id", "left_anti"), "copies")
+    texts = rows.filter("id IS NOT NULL").join(small_side(copies), "id", "left_anti")
     entries = texts.mapInArrow(_prefixes(n, threshold, sent), "id long, token long, n long, ask int").repartition(parallelism(spark), "token")
-    shared = entries.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("token")
-    lists = settle(entries.join(shared, "token", "left_semi"), "lists")
+    # one shuffle: a list's least and largest id come from a window over what that shuffle has brought together
+    whole = Window.partitionBy("token")
+    lists = settle(entries.withColumns({"lo": F.min("id").over(whole), "hi": F.max("id").over(whole)}).filter("lo <> hi").drop("lo", "hi"), "lists")
     groups, links, turn = None, None, -1
     while turn < ROUNDS:
         turn += 1
         divided = settle(_divided(_grouped(lists, groups)), "divided")
         if divided.isEmpty():
             break
+        if 0 < turn < ROUNDS and _cross_pairs(divided) <= 2 * divided.count() + FEW_PAIRS:
+            turn = ROUNDS
         if turn < ROUNDS:
             rank = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
             leaders = divided.groupBy("token").agg(F.min_by(F.struct(F.col("id").alias("l_id"), F.col("n").alias("l_n"), F.col("grp").alias("l_grp"), F.col("ask").alias("l_ask")), F.struct(rank, F.col("id"))).alias("l"))
@@ -234,7 +248,9 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str
             met = x.join(y, "token").filter("grp <> l_grp AND id < l_id").filter(_near_size("n", "l_n", threshold))
             pairs = met.groupBy("l_id", "id").agg(F.count("*").alias("met"), F.min(F.least("ask", "l_ask")).alias("asked"))
             pairs = pairs.filter("met >= asked").select(F.col("l_id").alias("a"), F.col("id").alias("b"))
-        found = _verified(settle(pairs, "pairs"), rows.filter("id IS NOT NULL"), n, threshold)
+        pairs = settle(pairs, "pairs")
+        found = _verified(pairs, rows.filter("id IS NOT NULL"), n, threshold)
+        discard(pairs, divided)
         if found.isEmpty():
             turn = max(turn, ROUNDS - 1)  # leaders bring nothing more: what is left is compared in full
             continue

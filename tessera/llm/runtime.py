@@ -39,17 +39,24 @@ def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.settled_at = path
+    return stored
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files below a table made by ``settle`` that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``settle`` that no plan still to be run reads."""
+    for df in tables:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_side(ids: DataFrame, limit: int = 200_000) -> DataFrame:
+    """``ids`` (one long), to be broadcast if they are counted to be few; else left to a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
