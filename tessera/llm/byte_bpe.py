@@ -18,8 +18,7 @@ Decoding concatenates the ids' binary pieces.
 Defined results: a null or empty text has no ids; null ids (of a document or
 of words) never occur in the output; repeated rows are encoded each; columns
 other than the id and the text are left out, so none can clash.  Text is split
-by Java's tables for letters and numbers; characters assigned after Unicode 13
-may be classed otherwise than in newer tables.
+by the tables for letters and numbers of the ``regex`` module.
 """
 
 from __future__ import annotations
