@@ -9,9 +9,14 @@ Encoding runs as one narrow stage, so nothing of a text is shuffled:
 3. a second Python pass, fed in the same order, keeps the folded words and puts
    each document's ids together.
 
-A partition's word list is started anew when it holds ``max_words`` words, on
-both sides at the same row, so memory is bounded whatever the corpus.  The
-stage keeps no state outside its partition: a lost executor repeats a split.
+A fold's step reads the whole word, so a word costs the square of its bytes.
+Words of more than ``LONG`` bytes (unbroken runs, not words of a language) are
+merged in the second pass with a heap instead, to the same ids.
+
+A partition's word list is started anew when it holds ``max_words`` words or
+``MAX_HELD`` characters, on both sides at the same row, so memory is bounded
+whatever the corpus.  The stage keeps no state outside its partition: a lost
+executor repeats a split.
 
 Decoding concatenates the ids' binary pieces.
 
@@ -24,6 +29,7 @@ by the tables for letters and numbers of the ``regex`` module.
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -34,6 +40,10 @@ from pyspark.sql import functions as F
 
 #: A word list of this many entries is dropped and begun again.
 MAX_WORDS = 1_000_000
+#: So is one of this many characters.
+MAX_HELD = 64_000_000
+#: Bytes of the longest word that is folded.
+LONG = 1024
 #: Bits of an id in the literal rank map: a pair of ids and the id it makes share one 64-bit integer.
 ID_BITS = 20
 #: Stands for "no such pair" among ranks.
@@ -125,13 +135,40 @@ def fold_expression(ranks: dict[bytes, int], word: str) -> str:
     return _let("shifts", literals[0], _let("slots", literals[1], fold))
 
 
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> bytes:
+    """Little-endian ids of a word in n log n steps: a heap of neighbouring pieces that make a token, least rank first, then leftmost."""
+    n = len(word)
+    pieces: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap: list[tuple[int, int]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < n and (rank := ranks.get(pieces[i] + pieces[after[i]])) is not None:
+            heapq.heappush(heap, (rank, i))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        if pieces[i] is None or after[i] == n or ranks.get(pieces[i] + pieces[after[i]]) != rank:
+            continue  # one of the two has been merged since
+        gone = after[i]
+        pieces[i] += pieces[gone]
+        pieces[gone], after[i] = None, after[gone]
+        if after[i] < n:
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    return b"".join(ranks[p].to_bytes(4, "little") for p in pieces if p is not None)
+
+
 def _words_first(pattern: str, sent, max_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         ranks, find = sent.value, regex.compile(pattern).findall
         byte_ids = [ranks.get(bytes([b])) for b in range(256)]
-        known, firsts, others = set(), set(), set()
+        known, firsts, others, held = set(), set(), set(), 0
         for batch in batches:
             texts, fresh = batch.column(1).to_pylist(), []
             for text in texts:
@@ -143,12 +180,13 @@ def _words_first(pattern: str, sent, max_words: int):
                     firsts.add(first)
                     new.append(first)
                 for part in new:
+                    held += len(part)
                     for word in find(part):
-                        if word not in known:
+                        if word not in known and len(raw := word.encode()) <= LONG:
                             known.add(word)
-                            if word.encode() not in ranks:
+                            if raw not in ranks:
                                 fresh.append(word)
-            begin, n = len(known) + len(others) > max_words, len(fresh)
+            begin, n = len(known) + len(others) > max_words or held > MAX_HELD, len(fresh)
             yield pa.record_batch(
                 {
                     "id": pa.concat_arrays([pa.nulls(n, pa.int64()), batch.column(0)]),
@@ -158,7 +196,7 @@ def _words_first(pattern: str, sent, max_words: int):
                 }
             )
             if begin:
-                known, firsts, others = set(), set(), set()
+                known, firsts, others, held = set(), set(), set(), 0
 
     return run
 
@@ -170,8 +208,12 @@ def _put_together(pattern: str, sent):
 
         ranks, find, words, parts = sent.value, regex.compile(pattern).findall, {}, {}
 
+        def id_of(word: str) -> bytes:
+            raw = word.encode()
+            return ranks[raw].to_bytes(4, "little") if raw in ranks else merge_long(raw, ranks)
+
         def ids_of(part: str) -> bytes:
-            parts[part] = found = b"".join([words[w] if w in words else ranks[w.encode()].to_bytes(4, "little") for w in find(part)])
+            parts[part] = found = b"".join([words[w] if w in words else id_of(w) for w in find(part)])
             return found
 
         for batch in batches:
