@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.runtime import settle, small_side
+
 FIT_ROWS = 60_000
 MODEL_WORDS = 50_000
 #: Letters of a word's openings that are counted like words; marked so that no word equals them.
@@ -43,6 +45,8 @@ NEUTRAL, PRIOR, ODDS_LEAST, USES = -0.7, 0.02, 1.5, 4
 #: Expected chance segments below which a passage is significant.
 E_MAX = 0.05
 WORD = re.compile(r"[^\W\d_]+")
+#: Rows of the counted words that hold the sums over all words and over all openings; no word equals them.
+WORDS, PARTS = "#words", "#openings"
 #: A worker's remembered words; the memory is emptied beyond.
 REMEMBERED = 1_000_000
 
@@ -120,12 +124,15 @@ def probability(model: Model, best: float, summed: float, passages: int) -> floa
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, clean, toxic): how many texts of a partition hold a word or opening; emptied now and then."""
+    """(word, clean, toxic): how many texts of a partition hold a word or opening, and the sums of these; emptied now and then."""
     from collections import Counter
 
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
 
     def out() -> pa.RecordBatch:
+        for n in counts.values():
+            openings = sum(k for w, k in n.items() if w.startswith("^"))
+            n[WORDS], n[PARTS] = n.total() - openings, openings
         words = list(set(counts[0]) | set(counts[1]))
         rows = {"word": pa.array(words, pa.string())} | {n: pa.array([counts[k][w] for w in words], pa.int64()) for k, n in enumerate(("clean", "toxic"))}
         counts[0].clear()
@@ -145,19 +152,24 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     """A model from the labelled rows of ``docs`` that are not held out."""
     import numpy as np
 
-    known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("id")))
+    known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("id"))).distinct()
     n = known.count()
     share = min(1.0, fit_rows / max(1, n))
     drawn = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(drawn, "id").select("text", "toxic").dropDuplicates()
+    # about FIT_ROWS ids, so that no text has to be shuffled; equal texts of one label are fitted on once
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small_side(drawn), "id")
+    texts = settle(texts.select(F.monotonically_increasing_id().alias("row"), "text", "toxic", F.sha2("text", 256).alias("key")), "labelled")
+    once = texts.groupBy("key", "toxic").agg(F.min("row").alias("row")).select("row")
+    sample = texts.join(small_side(once), "row", "left_semi").select("text", "toxic")
     counted = sample.mapInArrow(_count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    totals = counted.withColumn("part", F.col("word").startswith("^")).groupBy("part").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.count_if(F.col("t") >= USES).alias("tested"))
-    found = totals.collect()
-    sums = {x["part"]: (x["c"], x["t"]) for x in found}
+    counted = settle(counted.filter(f"t >= {USES} OR word IN ('{WORDS}', '{PARTS}')"), "words")
+    sums = {x["word"]: (x["c"], x["t"]) for x in counted.filter(F.col("word").isin(WORDS, PARTS)).collect()}
+    counted = counted.filter(~F.col("word").isin(WORDS, PARTS))
+    tested = counted.filter(f"t >= {USES}").count()
     # the more words are tested, the larger is the largest z-score of a word that means nothing
-    z_least = max(2.0, math.sqrt(2 * math.log(1 + sum(x["tested"] for x in found))) - 1.4)
+    z_least = max(2.0, math.sqrt(2 * math.log(1 + tested)) - 1.4)
     model = Model()
-    clean_words, toxic_words = sums.get(False, (0, 0))
+    clean_words, toxic_words = sums.get(WORDS, (0, 0))
     if not clean_words or not toxic_words:
         return model
     # log-odds with a prior in proportion to a word's joint frequency, and its z-score
