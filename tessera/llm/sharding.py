@@ -9,9 +9,10 @@ balanced tree over the remaining capacities finds each tightest bin; groups
 of one size are placed in bulk.  The plan is a list of runs over the groups'
 positions in that order, which a range sort gives them.
 
-A group larger than 1/``PARTS`` of a shard can't keep sizes near equal; its rows
-are split by a hash of their id into parts of about that size, each of which
-is indivisible.  Hot groups are thereby also split between tasks.
+Only a group that no shard can hold, of more bytes than both an even share and
+the largest row, is cut: its rows (all of one size) in the order of their ids
+into the fewest parts that fit.  Groups of more than 1/``PARTS`` of a share are
+few; their shards are broadcast, so that none of them lands in one task.
 
 Defined results: a null text is no bytes and a group of its own kind (all null
 texts together); repeated rows are rows like any other; a null id is hashed
@@ -32,7 +33,7 @@ from tessera.llm.runtime import number_rows, settle
 
 #: Sizes below this have a class of their own in the histogram.
 EXACT = 1 << 16
-#: A group of more than 1/PARTS of a shard is split.
+#: The shards of a group of more than 1/PARTS of a share are broadcast.
 PARTS = 8
 #: Bytes that every row takes besides its text.
 ROW_BYTES = 8
@@ -147,11 +148,18 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     total = rows.agg(F.sum("size")).first()[0]
     if total is None:
         return rows.select("id", "size", "crc", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).withColumnsRenamed({"id": id_col, "crc": "text_crc32"})
-    most = max(1, total // shards // PARTS)
-    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"))
-    # few groups are that large: fewer than shards * PARTS of them have the bytes
-    split = groups.filter(F.col("bytes") > most).select("text_key", F.expr(f"cast(ceil(bytes / {most}) as int) + 1 AS parts"))
-    rows = rows.join(F.broadcast(split), "text_key", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+    most = max(-(-total // shards), rows.agg(F.max("size")).first()[0])
+    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.max("size").alias("each"))
+    # fewer than shards * PARTS groups can have that many bytes
+    hot = groups.filter(F.col("bytes") > total // shards // PARTS).collect()
+    keys = lambda found: F.broadcast(spark.createDataFrame([(g["text_key"], most // g["each"]) for g in found], "text_key string, held long"))
+    cut = [g for g in hot if g["bytes"] > most]
+    rows = rows.withColumn("part", F.lit(0).cast("long"))
+    if cut:
+        inside = number_rows(rows.drop("part").join(keys(cut), "text_key"), [F.col("text_key"), F.col("id")], "shard-cut")
+        first = inside.groupBy("text_key").agg(F.min("pos").alias("first"))
+        inside = inside.join(F.broadcast(first), "text_key").withColumn("part", F.expr("(pos - first) div held"))
+        rows = rows.join(keys(cut), "text_key", "left_anti").unionByName(inside.select(rows.columns))
     units = rows.groupBy("text_key", "part").agg(F.sum("size").alias("bytes"))
     units = units.withColumn("class", F.expr(_class_top("bytes")))
     placed = number_rows(units, [F.col("class").desc(), F.col("text_key"), F.col("part")], "shard-units")
@@ -164,7 +172,9 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         return positions.map(lambda p: bins[bisect.bisect_right(starts, p) - 1]).astype("int32")
 
     homes = placed.select("text_key", "part", F.pandas_udf(bin_of, "int")("pos").alias("shard"))
-    dealt = rows.select("id", "size", "crc", "text_key", "part").join(homes, ["text_key", "part"])
+    few, unit = keys(hot), ["text_key", "part"]
+    dealt = rows.join(few, "text_key", "left_anti").join(homes.join(few, "text_key", "left_anti"), unit)
+    dealt = dealt.unionByName(rows.join(F.broadcast(homes.join(few, "text_key", "left_semi")), unit))
     dealt = number_rows(dealt.select("id", "size", "crc", "shard"), [F.col("shard"), F.col("id"), F.col("crc")], "shard-slots")
     starts = dealt.groupBy("shard").agg(F.min("pos").alias("start"))
     return dealt.join(F.broadcast(starts), "shard").select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("pos") - F.col("start")).alias("slot"))

@@ -143,6 +143,28 @@ def test_sharding(spark, texts):
     assert bins == len(free)
 
 
+def test_sharding_keeps_groups_whole(spark):
+    from tessera.llm.sharding import shard
+
+    rng = random.Random(6)
+    single = [words(rng, 30) for _ in range(200)]
+    most_of_one = [t for i in range(4) for t in [f"group {i} of most of a shard " * 4] * 100]
+    texts = [*single, *most_of_one, *["more than a shard " * 9] * 160, *[None] * 20]
+    total = sum(len((t or "").encode()) + 8 for t in texts)
+    share = -(-total // 7)
+    got = shard(docs_of(spark, texts), 7).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    homes, sizes = {}, Counter()
+    for r in got:
+        homes.setdefault(texts[r.doc_id], Counter())[r.shard] += 1
+        sizes[r.shard] += r["size"]
+    for t, found in homes.items():
+        each = len((t or "").encode()) + 8
+        assert len(found) == -(-found.total() // (share // each)), (t, found)
+    assert len(homes[texts[200]]) == 1 and len(homes[texts[600]]) == 2
+    assert len(sizes) == 7 and max(sizes.values()) < 1.02 * share
+
+
 def test_line_dedup(spark):
     from tessera.llm.line_dedup import dedup
 
