@@ -69,6 +69,33 @@ def namespace_treatments(edges: DataFrame) -> DataFrame:
     return edges.withColumn("v", F.explode(F.array_compact(F.array(*choices)))).drop("provider").select("*", "v.*").drop("v")
 
 
+def evidence_types(edges: DataFrame, hub_linked: str, code_signature: str, package: str) -> DataFrame:
+    """Edges by the study's evidence variants: high confidence in both layers, or one layer by one evidence type and the other whole."""
+    of = lambda layer, kind: (F.col("layer") != layer) | (F.col("evidence_type") == kind)
+    rules = {
+        "high_confidence_both_layers": F.col("confidence") == "high",
+        "hub_linked_model_only": of("model", hub_linked),
+        "service_code_signature_only": of(SERVICE, code_signature),
+        "service_package_only": of(SERVICE, package),
+    }
+    names = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    return edges.withColumn("variant", F.explode(names))
+
+
+def immediate_namespace(edges: DataFrame) -> DataFrame:
+    """Edges whose model providers are the text before the first slash of the evidence value."""
+    value = F.coalesce("evidence_value", F.lit(""))
+    space = F.concat(F.lit("namespace:"), F.when(F.contains(value, F.lit("/")), F.split_part(value, F.lit("/"), F.lit(1))).otherwise("unscoped"))
+    return edges.withColumn("provider", F.when(F.col("layer") == "model", space).otherwise(F.col("provider"))).withColumn("variant", F.lit("immediate_public_namespace"))
+
+
+def weighted_projects(edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """Edges under each variant of ``weights`` (variant, space_id, base_weight); a project without a weight has 1."""
+    # the variants are a handful
+    every = edges.crossJoin(F.broadcast(weights.select("variant").distinct()))
+    return every.join(weights, ["variant", "space_id"], "left").fillna(1.0, ["base_weight"])
+
+
 def unknown_boundary(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """Edges by treatment of unmapped service candidates (space_id, candidate_type, identifier)."""
     distinct = candidates.select("space_id", "candidate_type", "identifier").distinct()

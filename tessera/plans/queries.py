@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import source_code, text as T
 from tessera.operators import concentration as C, history as H, paired as P, resampling as R, similarity as S, validation as V, variants as X
 from tessera.plans import derived
-from tessera.plans.roles import CUTOFFS, SPECS, Roles
+from tessera.plans.roles import CODE_SIGNATURE, CUTOFFS, HUB_LINKED, PACKAGE, SPECS, Roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEED, DRAWS = 20260831, 20
@@ -220,8 +220,65 @@ def robustness_ranges(r):
 
 @query
 def exact_bundle_clusters(r):
+    return tidy(_bundles(r))
+
+
+def _bundles(r: Roles) -> DataFrame:
     files = r.table("documents").select(F.col("doc_id").alias("space_id"), F.explode(F.split("text", "\n")).alias("line"))
-    return tidy(S.exact_bundles(files.select("space_id", F.sha2("line", 256).alias("sha256"))))
+    return S.exact_bundles(files.select("space_id", F.sha2("line", 256).alias("sha256")))
+
+
+def _base_weights(r: Roles) -> DataFrame:
+    """family, variant, space_id, base_weight: likes, and the clusters of source reuse."""
+    spaces = r.spaces()
+    near = S.similarity_clusters(S.settle(S.jaccard_pairs(_shingles(r), 0.85), "pairs"), (85, 90, 95))
+    one = lambda df, family, variant, weight: df.select(F.lit(family).alias("family"), F.lit(variant).alias("variant"), "space_id", weight.cast("double").alias("base_weight"))
+    return X.union_all(
+        [
+            one(spaces, "weighting", "likes_plus_one", F.col("likes") + 1),
+            one(_bundles(r), "source_reuse", "exact_multifile_cluster", F.col("cluster_weight")),
+            near.select(F.lit("source_reuse").alias("family"), F.format_string("near_duplicate_jaccard_%03d", "threshold").alias("variant"), F.col("node").alias("space_id"), (1 / F.col("cluster_size")).alias("base_weight")),
+            one(spaces, "source_reuse", "author_cluster", F.col("author_weight")),
+        ]
+    )
+
+
+def robustness_full(r: Roles) -> DataFrame:
+    """The study's whole matrix: every family and variant, each with its projects' base weights."""
+    edges, rankings = r.edges(), r.rankings()
+    weights = _base_weights(r)
+    # a threshold without pairs has no weights, but it is a variant all the same: all weigh 1
+    thresholds = X.union_all([edges.select("space_id").distinct().select(F.lit("source_reuse").alias("family"), F.lit(f"near_duplicate_jaccard_{t:03d}").alias("variant"), "space_id", F.lit(1.0).alias("base_weight")) for t in (85, 90, 95)])
+    weights = S.settle(weights.unionByName(thresholds).groupBy("family", "variant", "space_id").agg(F.min("base_weight").alias("base_weight")), "base-weights")
+    cols = ("family", "variant", "space_id", "provider", "layer", "base_weight")
+
+    def name(df: DataFrame, family: str, weight: Column | None = None) -> DataFrame:
+        return df.withColumns({"family": F.lit(family), "variant": F.col("variant").cast("string"), "base_weight": F.lit(1.0) if weight is None else weight}).select(*cols)
+
+    arms = rankings.select(F.col("arm").alias("variant"), "space_id").distinct()
+    weighted = [name(X.weighted_projects(edges, weights.filter(F.col("family") == f).drop("family")), f, F.col("base_weight")) for f in ("weighting", "source_reuse")]
+    runs = [
+        name(edges.withColumn("variant", F.lit("project_equal")), "primary"),
+        name(X.leave_one_provider_out(edges), "leave_one_provider_out"),
+        name(_framed(r, X.search_frames(rankings, CUTOFFS)), "rank_cutoff"),
+        name(_framed(r, X.without_each(rankings, "query")), "leave_one_query_out"),
+        name(X.evidence_types(edges, HUB_LINKED, CODE_SIGNATURE, PACKAGE), "evidence"),
+        name(_framed(r, arms), "search_arm"),
+        name(X.immediate_namespace(edges), "model_taxonomy"),
+        name(X.namespace_treatments(edges), "model_taxonomy"),
+        *weighted,
+    ]
+    return P.paired_estimate(X.union_all(runs), by=("family", "variant"), base="base_weight")
+
+
+@query
+def robustness_matrix_full(r):
+    return tidy(robustness_full(r).select("family", "variant", "matched_projects", "service_hhi", "model_hhi", "hhi_difference"))
+
+
+@query
+def robustness_ranges_full(r):
+    return tidy(X.ranges(robustness_full(r), "family", "hhi_difference"))
 
 
 def _shingles(r: Roles) -> DataFrame:

@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.plans import derived
+
 SPECS = {"combined": ["service", "model", "runtime"], "provider_only": ["service", "runtime"], "service": ["service"], "model": ["model"]}
 CUTOFFS = (25, 50, 75, 100)
+#: The evidence types that stand for the study's, in the whole robustness matrix.
+HUB_LINKED, CODE_SIGNATURE, PACKAGE = "PROMO", "STANDARD", "ECONOMY"
 
 
 class Roles:
@@ -21,7 +25,7 @@ class Roles:
         return self._table(name)
 
     def edges(self) -> DataFrame:
-        """space_id, provider, layer, evidence_type, confidence, source_file, provider_basis."""
+        """space_id, provider, layer, evidence_type, confidence, source_file, provider_basis, evidence_value (the model's name)."""
         line, part, supplier, nation = (self._table(n) for n in ("lineitem", "part", "supplier", "nation"))
         joined = line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey).join(nation, supplier.s_nationkey == nation.n_nationkey)
         flag = F.col("l_returnflag")
@@ -33,6 +37,7 @@ class Roles:
             F.when(F.col("l_linestatus") == "F", "high").otherwise("medium").alias("confidence"),
             F.col("l_linenumber").alias("source_file"),
             F.when(F.col("p_size") % 5 == 0, "unmapped_public_namespace").otherwise("model_namespace").alias("provider_basis"),
+            derived.model(F.col("p_partkey")).alias("evidence_value"),
         )
 
     def spaces(self) -> DataFrame:
