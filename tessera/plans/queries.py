@@ -14,6 +14,7 @@ from tessera.plans.roles import CODE_SIGNATURE, CUTOFFS, HUB_LINKED, PACKAGE, SP
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEED, DRAWS = 20260831, 20
+THRESHOLDS = (85, 90, 95)
 TARGETS = {"en": 40, "es": 30, "fr": 20, "de": 10}
 
 
@@ -231,13 +232,13 @@ def _bundles(r: Roles) -> DataFrame:
 def _base_weights(r: Roles) -> DataFrame:
     """family, variant, space_id, base_weight: likes, and the clusters of source reuse."""
     spaces = r.spaces()
-    near = S.similarity_clusters(S.settle(S.jaccard_pairs(_shingles(r), 0.85), "pairs"), (85, 90, 95))
+    near = _source_assignments(r)
     one = lambda df, family, variant, weight: df.select(F.lit(family).alias("family"), F.lit(variant).alias("variant"), "space_id", weight.cast("double").alias("base_weight"))
     return X.union_all(
         [
             one(spaces, "weighting", "likes_plus_one", F.col("likes") + 1),
             one(_bundles(r), "source_reuse", "exact_multifile_cluster", F.col("cluster_weight")),
-            near.select(F.lit("source_reuse").alias("family"), F.format_string("near_duplicate_jaccard_%03d", "threshold").alias("variant"), F.col("node").alias("space_id"), (1 / F.col("cluster_size")).alias("base_weight")),
+            near.select(F.lit("source_reuse").alias("family"), F.format_string("near_duplicate_jaccard_%03d", "threshold").alias("variant"), "space_id", F.col("cluster_weight").alias("base_weight")),
             one(spaces, "source_reuse", "author_cluster", F.col("author_weight")),
         ]
     )
@@ -246,10 +247,7 @@ def _base_weights(r: Roles) -> DataFrame:
 def robustness_full(r: Roles) -> DataFrame:
     """The study's whole matrix: every family and variant, each with its projects' base weights."""
     edges, rankings = r.edges(), r.rankings()
-    weights = _base_weights(r)
-    # a threshold without pairs has no weights, but it is a variant all the same: all weigh 1
-    thresholds = X.union_all([edges.select("space_id").distinct().select(F.lit("source_reuse").alias("family"), F.lit(f"near_duplicate_jaccard_{t:03d}").alias("variant"), "space_id", F.lit(1.0).alias("base_weight")) for t in (85, 90, 95)])
-    weights = S.settle(weights.unionByName(thresholds).groupBy("family", "variant", "space_id").agg(F.min("base_weight").alias("base_weight")), "base-weights")
+    weights = S.settle(_base_weights(r), "base-weights")
     cols = ("family", "variant", "space_id", "provider", "layer", "base_weight")
 
     def name(df: DataFrame, family: str, weight: Column | None = None) -> DataFrame:
@@ -306,6 +304,47 @@ def similarity_sensitivity(r):
     return tidy(found.groupBy("threshold").agg(F.count("*").alias("clustered"), F.countDistinct("component").alias("clusters"), F.max("cluster_size").alias("largest")))
 
 
+def _source_shingles(r: Roles) -> DataFrame:
+    """space_id, shingle of each source's normalised tokens."""
+    return r.table("documents").select(F.col("doc_id").alias("space_id"), F.explode(source_code.token_shingles(F.col("text"))).alias("shingle"))
+
+
+def _source_assignments(r: Roles) -> DataFrame:
+    shingles = S.settle(_source_shingles(r), "source-shingles")
+    pairs = S.settle(S.jaccard_pairs(shingles, 0.85), "pairs")
+    return S.assignments(r.table("documents").select(F.col("doc_id").alias("space_id")), pairs, shingles.groupBy("space_id").agg(F.count("*").alias("shingles")), THRESHOLDS)
+
+
+@query
+def source_shingle_counts(r):
+    projects = r.table("documents").select(F.col("doc_id").alias("space_id"))
+    counted = projects.join(_source_shingles(r).groupBy("space_id").agg(F.count("*").alias("shingles")), "space_id", "left").fillna(0, ["shingles"])
+    return counted.withColumn("eligible", F.col("shingles") >= 50)
+
+
+@query
+def source_jaccard_pairs(r):
+    return tidy(S.jaccard_pairs(_source_shingles(r), 0.85))
+
+
+@query
+def source_similarity_clusters(r):
+    return tidy(_source_assignments(r))
+
+
+@query
+def source_similarity_sensitivity(r):
+    given = S.settle(_source_assignments(r), "assignments")
+    many = F.col("cluster_size") > 1
+    counts = given.groupBy("threshold").agg(F.count_if("eligible").alias("eligible_projects"), F.count_if(many).alias("clustered_projects"), F.countDistinct(F.when(many, F.col("cluster_id"))).alias("non_singleton_clusters"), F.max("cluster_size").alias("largest_cluster"), F.sum("cluster_weight").alias("effective_project_clusters"))
+    weights = given.select(F.col("threshold").alias("variant"), "space_id", F.col("cluster_weight").alias("base_weight"))
+    edges = X.weighted_projects(r.edges(), weights).withColumnRenamed("variant", "threshold")
+    of = lambda df: C.indices(C.ranking(C.fractional_weights(df, by=("threshold",), base="base_weight"), ("threshold",)), ("threshold",))
+    combined = of(edges).select("threshold", F.col("hhi").alias("combined_hhi"), F.col("top_label").alias("combined_top_provider"), F.col("top1_share").alias("combined_top_share"))
+    providers = of(edges.filter(F.col("layer").isin("service", "model"))).select("threshold", F.col("hhi").alias("provider_only_hhi"))
+    return tidy(counts.join(combined, "threshold").join(providers, "threshold"))
+
+
 @query
 def signal_intersections(r):
     return X.signal_intersections(r.edges())

@@ -1,5 +1,7 @@
 """Queries without SQL, held against brute force on the smallest tables."""
 
+import hashlib
+import re
 from collections import defaultdict
 
 import pandas as pd
@@ -57,3 +59,54 @@ def test_robustness_full(spark, roles):
         kept = [(e.space_id, e.layer, e.provider) for e in edges.itertuples() if e.layer != layer or e.evidence_type == kind]
         assert got["evidence", variant] == pytest.approx(brute_paired(kept, lambda s: 1), abs=2e-8), variant
     assert len({v for k, v in got.items() if k[0] == "source_reuse"}) > 1
+
+
+def brute_shingles(text):
+    """The study's normalisation, by its plain patterns."""
+    text = re.sub(r"""(?s)(?:"{3}.*?"{3}|'{3}.*?'{3}|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')""", " STR ", text or "")
+    text = re.sub(r"(?m)(?<!:)//[^\n]*|#[^\n]*", " ", re.sub(r"(?s)/\*.*?\*/|<!--.*?-->", " ", text))
+    tokens = ["NUM" if t[0].isdigit() else t.casefold() for t in re.findall(r"[A-Za-z_$][A-Za-z0-9_$]*|\d+(?:\.\d+)?|==|!=|<=|>=|=>|->|::|[^\s]", text)]
+    return {"\x1f".join(tokens[i : i + 7]) for i in range(len(tokens) - 6)}
+
+
+def brute_clusters(ids, pairs):
+    """The members of each id's single-linkage cluster."""
+    group = {i: {i} for i in ids}
+    for a, b in pairs:
+        if group[a] is not group[b]:
+            joined = group[a] | group[b]
+            for x in joined:
+                group[x] = joined
+    return group
+
+
+def test_source_similarity(spark):
+    docs = pd.read_parquet(f"{DATA}/documents.parquet").set_index("doc_id").text
+    sets = {i: brute_shingles(t) for i, t in docs.items()}
+    ids = sorted(i for i, s in sets.items() if len(s) >= 50)
+    jaccard = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in ids for b in ids if a < b}
+    pairs = {k: v for k, v in jaccard.items() if v >= 0.85}
+    got = {r.space_id: (r.shingles, r.eligible) for r in QUERIES["source_shingle_counts"](spark, DATA).collect()}
+    assert got == {i: (len(s), len(s) >= 50) for i, s in sets.items()}
+    got = {(r.left_id, r.right_id): r.jaccard for r in QUERIES["source_jaccard_pairs"](spark, DATA).collect()}
+    assert pairs and got == pytest.approx(pairs, abs=1e-8)
+    got = {(r.threshold, r.space_id): (r.cluster_id, r.cluster_size, r.cluster_weight, r.eligible) for r in QUERIES["source_similarity_clusters"](spark, DATA).collect()}
+    assert len(got) == 3 * len(docs)
+    summary = {r.threshold: r for r in QUERIES["source_similarity_sensitivity"](spark, DATA).collect()}
+    for t in (85, 90, 95):
+        group = brute_clusters(docs.index, [k for k, v in pairs.items() if v >= t / 100])
+        for i, members in group.items():
+            name = hashlib.sha256("\n".join(sorted(map(str, members))).encode()).hexdigest() if len(members) > 1 else f"unique:{i}"
+            assert got[t, i] == (name, len(members), pytest.approx(1 / len(members), abs=1e-8), len(sets[i]) >= 50)
+        assert summary[t].clustered_projects == sum(len(m) > 1 for m in group.values()) and summary[t].eligible_projects == len(ids)
+        assert summary[t].effective_project_clusters == pytest.approx(len({min(m) for m in group.values()}), abs=1e-6)
+
+
+def test_sources_that_differ_in_literals_only(spark):
+    from tessera.functions.source_code import token_shingles
+
+    one = "\n".join(f"Value{i} = call( 'a{i}' , {i} )  # note {i}\n/* block {i} */ if x{i}==1.5: go('https://x/y')" for i in range(20))
+    other = "\n".join(f"value{i}=CALL(\"other \\\" {i}\",{i * 7})\nif X{i} == 22: GO('z') // c" for i in range(20))
+    rows = spark.createDataFrame([(1, one), (2, other), (3, None), (4, "'" + "x" * 200_000)], "id long, text string").select("id", token_shingles("text").alias("s")).collect()
+    sets = {r.id: set(r.s) for r in rows}
+    assert sets[1] == sets[2] and len(sets[1]) > 50 and sets[3] == set() and sets[4] == set()
