@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import resampling as R
+
 
 def commits_within(commits: DataFrame, snapshot: str) -> DataFrame:
     """Commits (committed_at, commit_id) up to the snapshot's day, in order of time and id."""
@@ -34,6 +38,34 @@ def version_hhi(versions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return joined.select(*by, "paired_projects", F.col("initial").alias("initial_hhi"), F.col("current").alias("current_hhi"), (F.col("current") - F.col("initial")).alias("hhi_change"))
 
 
+def version_draws(versions: DataFrame, count: int, seed: int) -> DataFrame:
+    """draw, initial_hhi, current_hhi, hhi_change: one resample of the projects with a signal in both states for both."""
+    both = versions.filter((F.size("initial") > 0) & (F.size("current") > 0))
+    placed = R.positions(both, "project")
+    taken = R.draws(placed, count, seed).join(placed, "idx").select("draw", "project", "m")
+    states = F.array(*[F.struct(F.lit(s).alias("state"), F.col(s).alias("labels")) for s in ("initial", "current")])
+    long = both.select("project", F.explode(states).alias("s")).select("project", "s.state", (1 / F.size("s.labels")).alias("w"), F.explode("s.labels").alias("label"))
+    sums = long.join(taken, "project").groupBy("draw", "state", "label").agg(F.sum(F.col("w") * F.col("m")).alias("w"))
+    shares = sums.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("draw", "state")))
+    hhi = shares.groupBy("draw").pivot("state", ["initial", "current"]).agg(F.sum(F.col("share") * F.col("share")))
+    return hhi.select("draw", F.col("initial").alias("initial_hhi"), F.col("current").alias("current_hhi"), (F.col("current") - F.col("initial")).alias("hhi_change"))
+
+
+def version_bootstrap(versions: DataFrame, count: int, seed: int) -> DataFrame:
+    """``version_hhi`` with the change's 95 % interval and the share of draws above 0; nulls where no project is paired."""
+    drawn = version_draws(versions, count, seed)
+    # rounded, so that no order of summation puts a change of 0 above it
+    above = (F.count_if(F.round("hhi_change", 12) > 0) / F.nullif(F.count("*"), F.lit(0))).alias("fraction_above_zero")
+    ends = [F.percentile("hhi_change", F.lit(q)).alias(f"hhi_change_ci_{n}") for n, q in (("low", 0.025), ("high", 0.975))]
+    return version_hhi(versions).crossJoin(F.broadcast(drawn.agg(*ends, above)))
+
+
+def span_bootstrap(versions: DataFrame, days: tuple[int, ...], count: int, seed: int) -> DataFrame:
+    """``version_bootstrap`` under each minimum history span, drawn with seed + days."""
+    found = [version_bootstrap(versions.filter(F.col("span_days") >= d), count, seed + d).withColumn("min_days", F.lit(d)) for d in days]
+    return reduce(DataFrame.unionByName, found)
+
+
 def by_span(versions: DataFrame, days: tuple[int, ...]) -> DataFrame:
     """Versions under each minimum history span, in column ``min_days``."""
     return versions.withColumn("min_days", F.explode(F.array(*[F.lit(d) for d in days]))).filter("span_days >= min_days")

@@ -14,6 +14,9 @@ from tessera.plans.roles import CODE_SIGNATURE, CUTOFFS, HUB_LINKED, PACKAGE, SP
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEED, DRAWS = 20260831, 20
+#: The study's number of resamples, for the queries that no SQL fixes.
+FULL_DRAWS = 2_000
+SPANS = (0, 365, 730, 1460)
 THRESHOLDS = (85, 90, 95)
 TARGETS = {"en": 40, "es": 30, "fr": 20, "de": 10}
 
@@ -404,6 +407,16 @@ def version_span_sensitivity(r):
     return tidy(H.version_hhi(H.by_span(r.versions(), (0, 365, 730, 1460)), by=("min_days",)))
 
 
+@query
+def version_hhi_change_full(r):
+    return tidy(H.version_bootstrap(r.versions(), FULL_DRAWS, SEED))
+
+
+@query
+def version_span_sensitivity_full(r):
+    return tidy(H.span_bootstrap(r.versions(), SPANS, FULL_DRAWS, SEED))
+
+
 @query
 def file_cap_sensitivity(r):
     return tidy(P.paired_estimate(H.capped(r.edges(), (1, 2, 3)), by=("cap",)).select("cap", "matched_projects", "service_hhi", "model_hhi", "hhi_difference"))

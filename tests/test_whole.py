@@ -110,3 +110,39 @@ def test_sources_that_differ_in_literals_only(spark):
     rows = spark.createDataFrame([(1, one), (2, other), (3, None), (4, "'" + "x" * 200_000)], "id long, text string").select("id", token_shingles("text").alias("s")).collect()
     sets = {r.id: set(r.s) for r in rows}
     assert sets[1] == sets[2] and len(sets[1]) > 50 and sets[3] == set() and sets[4] == set()
+
+
+def brute_draw(seed, draw, n):
+    return [int(hashlib.md5(f"{seed}|{draw}|{slot}".encode()).hexdigest()[:8], 16) % n for slot in range(n)]
+
+
+def brute_hhi(sets):
+    sums = defaultdict(float)
+    for s in sets:
+        for x in s:
+            sums[x] += 1 / len(s) / len(sets)
+    return sum(v * v for v in sums.values())
+
+
+def test_version_bootstrap(spark):
+    from tessera.operators import history as H
+
+    states = [(i, [f"p{i % 3}"], [f"p{i % 2}", "q"][: 1 + i % 2], 100 * i) for i in range(1, 30)]
+    versions = spark.createDataFrame([*states, (40, [], ["p1"], 9000), (41, ["p1"], [], 9000)], "project long, initial array<string>, current array<string>, span_days int")
+    got = {r.min_days: r for r in H.span_bootstrap(versions, (0, 365, 5000), 200, 7).collect()}
+    for days, r in got.items():
+        kept = [x for x in states if x[3] >= days]
+        assert r.paired_projects == len(kept)
+        if not kept:
+            assert (r.hhi_change, r.hhi_change_ci_low, r.hhi_change_ci_high, r.fraction_above_zero) == (None,) * 4
+            continue
+        changes = []
+        for d in range(200):
+            taken = [kept[i] for i in brute_draw(7 + days, d, len(kept))]
+            changes.append(brute_hhi([x[2] for x in taken]) - brute_hhi([x[1] for x in taken]))
+        assert r.hhi_change == pytest.approx(brute_hhi([x[2] for x in kept]) - brute_hhi([x[1] for x in kept]))
+        assert (r.hhi_change_ci_low, r.hhi_change_ci_high) == pytest.approx(tuple(pd.Series(changes).quantile([0.025, 0.975])))
+        assert r.fraction_above_zero == pytest.approx(sum(c > 1e-12 for c in changes) / 200)
+    assert got.keys() == {0, 365, 5000}
+    assert [r.min_days for r in QUERIES["version_span_sensitivity_full"](spark, DATA).collect()] == [0, 365, 730, 1460]
+    assert {"hhi_change_ci_low", "hhi_change_ci_high", "fraction_above_zero"} < set(QUERIES["version_hhi_change_full"](spark, DATA).columns)
