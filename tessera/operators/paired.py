@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +101,58 @@ def permutation_null(weights: DataFrame, count: int, seed: int) -> DataFrame:
     return mutual_information(codeclaration(s.unionByName(m), ("draw",)), ("draw",)).select("draw", "mi")
 
 
+def permutation_table(weights: DataFrame, count: int, seed: int) -> DataFrame:
+    """draw, mi: what ``permutation_null`` gives, for as many draws as the study has; draw -1 is the unpermuted table.
+
+    Each task deals whole permutations, over label codes and weights that the
+    driver collects and broadcasts (about 20 bytes for each project and label).
+    """
+    spark = weights.sparkSession
+    placed = weights.join(positions(weights), "space_id").select("idx", "layer", "label", "w").toPandas()
+    n = int(placed["idx"].max()) + 1 if len(placed) else 0
+    if not n:
+        return spark.createDataFrame([], "draw long, mi double")
+    s, m = (placed[placed["layer"] == x].sort_values(["idx", "label"], ignore_index=True) for x in (SERVICE, MODEL))
+    (sc, services), (mc, models) = (pd.factorize(x["label"], sort=True) for x in (s, m))
+    starts = np.searchsorted(s["idx"].to_numpy(), np.arange(n + 1))
+    sent = spark.sparkContext.broadcast((starts, sc.astype(np.int32), s["w"].to_numpy(), m["idx"].to_numpy(), mc.astype(np.int32), m["w"].to_numpy(), len(services), len(models)))
+
+    def entropy(p: np.ndarray) -> float:
+        p = p[p > 0]
+        return float(-(p * np.log(p)).sum())
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts, sc, sw, at, mc, mw, a, b = sent.value
+        for batch in batches:
+            found = []
+            for draw in batch["draw"]:
+                to = np.arange(len(starts) - 1)
+                if draw >= 0:
+                    text = f"{seed}|{draw}|"
+                    halves = np.frombuffer(b"".join(hashlib.md5(f"{text}{i}".encode()).digest() for i in range(len(to))), ">u8").astype(np.uint64).reshape(-1, 2)
+                    to[np.lexsort((halves[:, 1], halves[:, 0]))] = np.arange(len(to))
+                home = to[at]
+                first, labels = starts[home], starts[home + 1] - starts[home]
+                joint = np.zeros(a * b)
+                for k in range(int(labels.max())):
+                    has = labels > k
+                    i = first[has] + k
+                    joint += np.bincount(sc[i].astype(np.int64) * b + mc[has], sw[i] * mw[has], a * b)
+                joint = (joint / joint.sum()).reshape(a, b)
+                found.append(entropy(joint.sum(1)) + entropy(joint.sum(0)) - entropy(joint.ravel()))
+            yield pd.DataFrame({"draw": batch["draw"], "mi": found})
+
+    parts = max(spark.sparkContext.defaultParallelism * 4, 1)
+    return spark.range(-1, count, 1, parts).withColumnRenamed("id", "draw").mapInPandas(deal, "draw long, mi double")
+
+
+def permutation_test(table: DataFrame) -> DataFrame:
+    """observed, permutations, p_value of a ``permutation_table``; a draw that equals the observed value counts, whatever the last digits."""
+    observed = table.filter("draw < 0").select(F.round("mi", 12).alias("observed"))
+    dealt = table.filter("draw >= 0").crossJoin(F.broadcast(observed))
+    return dealt.groupBy("observed").agg(F.count("*").alias("permutations"), ((1 + F.count_if(F.round("mi", 12) >= F.col("observed"))) / (1 + F.count("*"))).alias("p_value"))
+
+
 def service_diversity(joint: DataFrame) -> DataFrame:
     """service, its share, the effective number of models given it, and its top model with that one's share."""
     of = joint.withColumn("share", F.sum("joint").over(Window.partitionBy("service"))).withColumn("p", F.col("joint") / F.col("share"))

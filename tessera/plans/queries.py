@@ -14,8 +14,8 @@ from tessera.plans.roles import CODE_SIGNATURE, CUTOFFS, HUB_LINKED, PACKAGE, SP
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEED, DRAWS = 20260831, 20
-#: The study's number of resamples, for the queries that no SQL fixes.
-FULL_DRAWS = 2_000
+#: The study's numbers of resamples and permutations, for the queries that no SQL fixes.
+FULL_DRAWS, PERMUTATIONS = 2_000, 10_000
 SPANS = (0, 365, 730, 1460)
 THRESHOLDS = (85, 90, 95)
 TARGETS = {"en": 40, "es": 30, "fr": 20, "de": 10}
@@ -77,6 +77,11 @@ def hhi_bootstrap_ci(r):
     return tidy(R.interval(P.hhi_draws(layer(r, "service"), DRAWS, SEED), "hhi"))
 
 
+@query
+def hhi_bootstrap_ci_full(r):
+    return tidy(R.interval(P.hhi_draws(layer(r, "service"), FULL_DRAWS, SEED), "hhi"))
+
+
 @query
 def fractional_matrix_long(r):
     return tidy(C.fractional_weights(layer(r, "service")).select("space_id", "label", "w"))
@@ -104,6 +109,12 @@ def paired_layer_bootstrap_ci(r):
     return tidy(both)
 
 
+@query
+def paired_layer_bootstrap_ci_full(r):
+    drawn = S.settle(P.paired_draws(r.edges(), FULL_DRAWS, SEED), "paired-draws")
+    return tidy(R.interval(drawn, "hhi_difference").crossJoin(drawn.agg((F.count_if(F.col("hhi_difference") > 0) / F.count("*")).alias("dominance"))))
+
+
 @query
 def paired_weighted_estimate(r):
     weighted = r.edges().join(r.spaces().select("space_id", "author_weight"), "space_id")
@@ -138,6 +149,16 @@ def permutation_p(r):
     return tidy(null.crossJoin(F.broadcast(observed)).groupBy("observed").agg(((1 + F.count_if(F.col("mi") >= F.col("observed"))) / (1 + F.count("*"))).alias("p_value")))
 
 
+@query
+def permutation_null_full(r):
+    return tidy(P.permutation_table(P.matched_weights(r.edges()), PERMUTATIONS, SEED).filter("draw >= 0"))
+
+
+@query
+def permutation_p_full(r):
+    return tidy(P.permutation_test(S.settle(P.permutation_table(P.matched_weights(r.edges()), PERMUTATIONS, SEED), "permutations")))
+
+
 @query
 def matched_composition(r):
     spaces = r.spaces().select(
@@ -562,6 +583,12 @@ def stratified_bootstrap(r):
     return tidy(R.interval(V.weighted_quality(drawn, by=("draw",), weight=F.col("m") / F.col("pi")), "precision"), 7)
 
 
+@query
+def stratified_bootstrap_full(r):
+    drawn = V.stratified_draws(_items(r), FULL_DRAWS, SEED)
+    return tidy(R.interval(V.weighted_quality(drawn, by=("draw",), weight=F.col("m") / F.col("pi")), "precision"), 7)
+
+
 @query
 def audit_checks(r):
     ranked = C.ranking(C.fractional_weights(r.edges(), by=("layer",)), ("layer",))

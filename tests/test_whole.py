@@ -146,3 +146,36 @@ def test_version_bootstrap(spark):
     assert got.keys() == {0, 365, 5000}
     assert [r.min_days for r in QUERIES["version_span_sensitivity_full"](spark, DATA).collect()] == [0, 365, 730, 1460]
     assert {"hhi_change_ci_low", "hhi_change_ci_high", "fraction_above_zero"} < set(QUERIES["version_hhi_change_full"](spark, DATA).columns)
+
+
+def test_permutations(spark, roles):
+    from tessera.operators import paired as P
+    from tessera.plans.queries import PERMUTATIONS, SEED
+
+    weights = P.matched_weights(roles.edges()).cache()
+    got = {r.draw: r.mi for r in P.permutation_table(weights, 5, SEED).collect()}
+    observed = got.pop(-1)
+    assert observed == pytest.approx(P.mutual_information(P.codeclaration(weights)).first().mi, abs=1e-12)
+    assert got == pytest.approx({r.draw: r.mi for r in P.permutation_null(weights, 5, SEED).collect()}, abs=1e-12)
+    whole = QUERIES["permutation_p_full"](spark, DATA).first()
+    assert whole.permutations == PERMUTATIONS == 10_000 and whole.p_value >= 1 / 10_001
+    # both layers' labels always agree: no permutation comes near
+    tied = spark.createDataFrame([(i, x, f"p{i % 4}", 1.0) for i in range(80) for x in ("service", "model")], "space_id long, layer string, label string, w double")
+    found = P.permutation_test(P.permutation_table(tied, 999, 1)).first()
+    assert found.p_value == pytest.approx(1 / 1000)
+    # one label only: every permutation equals the observed value
+    single = spark.createDataFrame([(i, x, "p", 1.0) for i in range(8) for x in ("service", "model")], "space_id long, layer string, label string, w double")
+    assert P.permutation_test(P.permutation_table(single, 20, 1)).first().p_value == 1
+    assert P.permutation_table(weights.limit(0), 5, 1).count() == 0
+
+
+def test_full_draws(spark, roles):
+    from tessera.plans.queries import FULL_DRAWS, SEED
+
+    edges = roles.edges().filter("layer = 'service'").select("space_id", "provider").distinct().toPandas()
+    labels = edges.groupby("space_id").provider.agg(set)
+    order = sorted(labels.index, key=lambda i: (i % 64, i))
+    assert FULL_DRAWS == 2000
+    values = pd.Series([brute_hhi([labels[order[i]] for i in brute_draw(SEED, d, len(order))]) for d in range(FULL_DRAWS)])
+    got = QUERIES["hhi_bootstrap_ci_full"](spark, DATA).first()
+    assert (got.hhi_ci_low, got.hhi_ci_high) == pytest.approx(tuple(values.quantile([0.025, 0.975])), abs=2e-8)
