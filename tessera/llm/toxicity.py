@@ -4,7 +4,10 @@ Fitting: word counts of toxic and of clean labelled documents give every word
 a log-odds ratio with an informative Dirichlet prior (the words' joint
 frequencies); words, and openings of words, that are toxic with significance
 keep their log-odds as score, all other words cost ``NEUTRAL``.  The same
-counts give the Karlin-Altschul scale of the clean documents.
+counts give lambda, the Karlin-Altschul scale of the clean documents; it is
+solved over whole words, without the openings, and K is not estimated but fixed
+at 1, so ``E_MAX`` is a fixed cut on a relative scale, not a calibrated number
+of chance passages.  What calibrates a document's score is the logistic curve.
 
 Scoring: one linear pass over a text's words finds all maximal scoring
 segments (Ruzzo and Tompa); a segment's score becomes an expected number of
@@ -55,7 +58,7 @@ REMEMBERED = 1_000_000
 class Model:
     scores: dict[str, float] = field(default_factory=dict)
     scale: float = 1.0  # lambda of the extreme-value law
-    volume: float = 1.0  # K of it
+    volume: float = 1.0  # K of it; fixed, never fitted
     curve: tuple[float, ...] = (-9.0, 0.0, 0.0, 0.0)
 
 
