@@ -3,7 +3,8 @@
 Pivots are a bounded sample of the vectors.  A vector is described by its
 ``NEAREST`` closest pivots in order; it enters the inverted list of each.  Two
 vectors are candidates if they share at least ``SHARED`` of these pivots, and
-are verified by their cosine in double precision.
+are verified by their cosine in double precision.  ``SHARED`` is 1: every pair
+that meets in a list is verified, and neither counts nor order of pivots prune.
 
 Lists are worked on in blocks: long lists are cut into chunks and each pair of
 chunks is a task of its own, so no task grows with a list.  Inside a block,
