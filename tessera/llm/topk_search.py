@@ -15,8 +15,9 @@ between stages is one row per query and visited bucket, never a pair.
 
 Defined results: vectors that are null, or hold a null or a non-finite
 component, take no part; vectors of unlike dimension are never compared; a row
-is its own id (repeated ids are distinct candidates of each other's queries
-only if the ids differ); ties go to the smaller id; queries without any
+is its own id, and repeated rows are rows like any other: each is searched on
+its own and counts as a candidate of the ids that differ from its own; the
+hits of all rows of a query's id are ranked together; ties go to the smaller id; queries without any
 candidate have no row; an empty table gives an empty result.  Components are
 taken as 64-bit integers, so |256 x| must stay below 2**31 and dimensions
 below 2**20 for the products to be exact.
@@ -35,7 +36,7 @@ BUCKET, BLOCK = 8192, 2048
 #: Coordinates by which a bucket is pruned, and the local threshold from which that pays.
 FOCUS, COORDINATE_FROM = 3, 0.5
 
-_HITS = "q_id long, v_id long, score long"
+_HITS = "q_id long, q_row long, v_id long, score long"
 
 
 def quantized(vector: Column, scale: int = 256) -> Column:
@@ -48,7 +49,7 @@ def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best vectors of a bucket for each query of a block that can still reach its floor."""
     import numpy as np
 
-    empty = pd.DataFrame({"q_id": [], "v_id": [], "score": []}).astype("int64")
+    empty = pd.DataFrame({"q_id": [], "q_row": [], "v_id": [], "score": []}).astype("int64")
     if queries.empty or vectors.empty:
         return empty
     out = []
@@ -66,7 +67,7 @@ def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
         by_coordinate: dict[int, tuple] = {}
         exact_in_double = dim * float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) < 2**52
         vf = v.astype("f8") if exact_in_double else None
-        q_ids, floors = block["id"].to_numpy("int64"), block["floor"].to_numpy("f8")
+        q_ids, q_rows, floors = block["id"].to_numpy("int64"), block["pos"].to_numpy("int64"), block["floor"].to_numpy("f8")
         q_length = np.sqrt((q.astype("f8") ** 2).sum(1))
         with np.errstate(divide="ignore", invalid="ignore"):
             local = np.where(floors > 0, floors / (q_length * length[0]), -1.0)
@@ -100,14 +101,14 @@ def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
                 cut = np.partition(score, len(score) - k)[len(score) - k]
                 own, score = own[score >= cut], score[score >= cut]
             top = np.lexsort((own, -score))[:k]
-            out.append((np.full(len(top), q_ids[r]), own[top], score[top]))
+            out.append((np.full(len(top), q_ids[r]), np.full(len(top), q_rows[r]), own[top], score[top]))
     if not out:
         return empty
-    return pd.DataFrame({name: np.concatenate([x[i] for x in out]) for i, name in enumerate(("q_id", "v_id", "score"))})
+    return pd.DataFrame({name: np.concatenate([x[i] for x in out]) for i, name in enumerate(("q_id", "q_row", "v_id", "score"))})
 
 
 def _meet(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Queries (block, bucket, id, vec, floor) against vectors (block, bucket, id, vec), each block and bucket in one task."""
+    """Queries (block, bucket, pos, id, vec, floor) against vectors (block, bucket, pos, id, vec), each block and bucket in one task."""
     both = queries.withColumn("asks", F.lit(True)).unionByName(vectors.withColumns({"floor": F.lit(0.0), "asks": F.lit(False)}))
     return both.groupBy("block", "bucket").applyInPandas(lambda x: _best(x[x["asks"]], x[~x["asks"]], k), _HITS)
 
@@ -120,17 +121,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     placed = number_rows(rows, [F.col("length2").desc(), F.col("id")], "topk-vectors").withColumn("bucket", F.expr(f"pos div {BUCKET}"))
     n_queries = placed.filter("is_query").count()
     blocks = max(1, -(-n_queries // BLOCK))
-    queries = placed.filter("is_query").select("id", "vec", "length2", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    probes = placed.select("bucket", "id", "vec", F.expr(f"explode(sequence(0L, {blocks - 1}L)) AS block"))
-    longest = _meet(queries.withColumns({"bucket": F.lit(0).cast("long"), "floor": F.lit(float("-inf"))}).select("block", "bucket", "id", "vec", "floor"), probes.filter("bucket = 0"), k)
+    queries = placed.filter("is_query").select("pos", "id", "vec", "length2", F.pmod(F.xxhash64("pos"), F.lit(blocks)).alias("block"))
+    probes = placed.select("bucket", "pos", "id", "vec", F.expr(f"explode(sequence(0L, {blocks - 1}L)) AS block"))
+    longest = _meet(queries.withColumns({"bucket": F.lit(0).cast("long"), "floor": F.lit(float("-inf"))}).select("block", "bucket", "pos", "id", "vec", "floor"), probes.filter("bucket = 0"), k)
     longest = settle(longest, "topk-first")
-    floors = longest.groupBy("q_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k).select(F.col("q_id").alias("id"), F.col("least").cast("double").alias("floor"))
+    floors = longest.groupBy("q_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k).select(F.col("q_row").alias("pos"), F.col("least").cast("double").alias("floor"))
     # one length a bucket; a query visits the buckets up to the last whose longest vector can reach its floor
     ends = placed.groupBy("bucket").agg(F.sqrt(F.max("length2")).alias("longest")).filter("bucket > 0")
     bounds = ends.agg(F.array_sort(F.collect_list(F.struct(F.col("bucket"), F.col("longest")))).alias("bounds"))
     reach = F.expr("filter(bounds, b -> floor <= 0 OR b.longest * sqrt(length2) * (1 + 1e-9) >= floor)")
-    visits = queries.dropDuplicates(["id"]).join(floors, "id", "left").fillna(float("-inf"), ["floor"]).join(F.broadcast(bounds), F.lit(True))
-    visits = visits.withColumn("bucket", F.explode(F.transform(reach, lambda b: b["bucket"]))).select("block", "bucket", "id", "vec", "floor")
+    visits = queries.join(floors, "pos", "left").fillna(float("-inf"), ["floor"]).join(F.broadcast(bounds), F.lit(True))
+    visits = visits.withColumn("bucket", F.explode(F.transform(reach, lambda b: b["bucket"]))).select("block", "bucket", "pos", "id", "vec", "floor")
     rest = _meet(visits, probes.filter("bucket > 0"), k)
     # the filter on the row number is also applied before the shuffle: at most k rows leave a task for each query
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), "v_id")
