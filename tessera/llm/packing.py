@@ -19,7 +19,6 @@ empty table gives an empty result.  Texts are tokenized whole.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,58 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import tokens
 from tessera.llm.runtime import settle
 
 WINDOW = 2048
 #: Open windows of a partition, and partitions whose leftovers meet in one task.
 OPEN, FAN = 16, 64
-#: A worker's remembered words; the memory is emptied beyond.
-REMEMBERED = 300_000
-
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, group long, ids binary"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
 TYPES = [pa.int64()] * 8 + [pa.binary()]
-#: A space between two characters that aren't white space always begins a word, so texts can be cut there.
-SEAM = re.compile(r"(?<=\S) (?=\S)")
-
-
-class Words:
-    """Ids of texts by a tokenizer file, word by word, with a bounded memory of words.
-
-    The tokenizer splits texts at its own pattern first; cutting at seams
-    (``SEAM``) never crosses one of its words, so the ids are the same.  Texts
-    that hold the string of a special token go to the tokenizer whole.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._whole = Tokenizer.from_file(path)
-        self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
-        self._known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text."""
-        import numpy as np
-
-        if not text or any(s in text for s in self._special):
-            return self._ids(text) if text else b""
-        first, *rest = SEAM.split(text)
-        words = [first, *[" " + x for x in rest]]
-        known = self._known
-        if len(known) > REMEMBERED:
-            known.clear()
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if missing:
-            for word, found in zip(missing, self._whole.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
-
 
 class Packer:
     """Open windows of one partition; what is finished collects in ``rows``."""
@@ -156,10 +112,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        packer, words, end = Packer(window, open_windows, part << 40, part), Words(tokenizer), end_id.to_bytes(4, "little")
+        packer, ids_of, end = Packer(window, open_windows, part << 40, part), tokens.load(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words(text or "") + end
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = ids_of(text.as_py()) + end
                 packer.add(doc, 0, ids, len(ids) // 4)
             yield from packer.batches()
         packer.close(last=False)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.packing import Words
+from tessera.llm import tokens
 from tessera.llm.runtime import table_path
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -106,12 +106,13 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str | None], text_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = {name: Words(path) if path else None for name, path in tokenizers.items()}
+        counters = {name: tokens.load(path) if path else None for name, path in tokenizers.items()}
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            for name, words in counters.items():
-                counts = [len(words(t or "")) // 4 if words else len((t or "").split()) for t in texts]
-                yield pa.record_batch([*batch.columns[:3], pa.array([name] * len(texts), pa.string()), pa.array(counts, pa.int64())], ["doc_id", "source", "lang", "tokenizer", "n_tokens"])
+            for name, ids_of in counters.items():
+                # one text at a time: beside the batch, no more than a text's own ids is held
+                texts = (t.as_py() or "" for t in batch.column(3))
+                counts = [len(ids_of(t)) // 4 if ids_of else len(t.split()) for t in texts]
+                yield pa.record_batch([*batch.columns[:3], pa.array([name] * len(counts), pa.string()), pa.array(counts, pa.int64())], ["doc_id", "source", "lang", "tokenizer", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
