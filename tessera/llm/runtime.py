@@ -2,23 +2,30 @@
 
 Intermediate tables are Parquet in the folder that ``spark.checkpoint.dir``
 names, which driver and executors share, so that a lost executor costs a
-re-read and never a wrong row number.  Only where that setting is missing, as
-in tests, does the first call choose a folder of its own.
+re-read and never a wrong row number.  Only where that setting is missing and
+driver and executors are one process, as in tests, does the first call choose a
+folder of its own.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: So many ids of 8 bytes are broadcast; beyond, a bitmap of BITS bits is.
+FEW_IDS, BITS = 200_000, 1 << 27
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; one of our own only where it is unset."""
+    """The shared folder of this session; one of our own only where it is unset and nothing has to be shared."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -57,6 +64,41 @@ def small_side(ids: DataFrame, limit: int = 200_000) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= limit else ids
 
 
+def _marked(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` with ``_hit``: false only where the id is none of ``ids``.
+
+    One bit a hash value, ``BITS`` bits in all whatever the data (16 MB,
+    broadcast): the more ids, the more rows are marked in vain.
+    """
+    at = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(BITS))
+    bits = ids.filter(F.col(id_col).isNotNull()).select(at(id_col).alias("_at"))
+    bits = bits.groupBy(F.expr("bitmap_bucket_number(_at) AS _cell")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_at)) AS _bits"))
+    met = rows.withColumn("_at", at(id_col)).withColumn("_cell", F.expr("bitmap_bucket_number(_at)")).join(F.broadcast(bits), "_cell", "left")
+    byte = "conv(hex(substring(_bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)), 16, 10)"
+    hit = F.expr(f"coalesce(getbit(cast({byte} as int), cast(bitmap_bit_position(_at) % 8 as int)) = 1, false)")
+    return met.withColumn("_hit", hit).drop("_at", "_cell", "_bits")
+
+
+def having(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is one of ``ids`` (a settled table of this one column).
+
+    Few ids (counted) are broadcast; of more, a bitmap of fixed size is, and
+    only the rows that it marks are shuffled.
+    """
+    if ids.count() <= FEW_IDS:
+        return rows.join(F.broadcast(ids), id_col, "left_semi")
+    return _marked(rows, ids, id_col).filter("_hit").drop("_hit").join(ids, id_col, "left_semi").select(rows.columns)
+
+
+def lacking(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is none of ``ids``, found as in ``having``; rows without an id are among them."""
+    if ids.count() <= FEW_IDS:
+        return rows.join(F.broadcast(ids), id_col, "left_anti")
+    marked = _marked(rows, ids, id_col)
+    doubtful = marked.filter("_hit").drop("_hit").join(ids, id_col, "left_anti").select(rows.columns)
+    return marked.filter("NOT _hit").select(rows.columns).unionByName(doubtful)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
