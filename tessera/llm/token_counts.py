@@ -35,8 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm.runtime import table_path
+from tessera.llm.runtime import settle, table_path
 
+#: A text that more than 1/HOT of all rows hold is joined by a broadcast.
+HOT = 4096
 GROUP = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id long, tokenizer string, source string, lang string, n_tokens long, alive boolean, seq long"
 DELTAS = "source string, lang string, tokenizer string, d_docs long, d_tokens long, seq long"
@@ -118,6 +120,20 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str | None], text_col: s
     return rows.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
 
 
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id of the documents whose text (null: empty) a smaller id has as well.
+
+    Fewer than ``HOT`` texts can be held by more than 1/HOT of the rows each;
+    their first ids are broadcast, so that no text gathers its rows in a task.
+    """
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("h")).filter("doc_id IS NOT NULL")
+    first = settle(keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "repeated")
+    most = F.lit(docs.count() // HOT)
+    hot = F.broadcast(first.filter(F.col("n") > most).select("h", "first"))
+    rest = keyed.join(hot, "h", "left_anti").join(first.filter(F.col("n") <= most).select("h", "first"), "h")
+    return keyed.join(hot, "h").unionByName(rest).filter("doc_id <> first").select("doc_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents inserted with an estimate (a token for four characters), revised to real counts, and repeated texts deleted.
 
@@ -130,9 +146,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.explode(F.array(*[F.lit(v) for v in versions])).alias("tokenizer")
     inserts = docs.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", F.expr("coalesce(length(text), 0) div 4 AS n_tokens"), names)
     revised = count_tokens(docs, versions).withColumn("op", F.lit("revise"))
-    keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
-    first = keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
-    copies = keyed.join(first, "h").filter("doc_id <> first")
+    copies = repeated(docs)
     deletes = copies.select(F.lit("delete").alias("op"), "doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(0).cast("long").alias("n_tokens"), names)
     rollup = TokenRollup(spark, table_path(spark, "token-counts"))
     for batch, changes in (("load", inserts), ("recount", revised), ("copies", deletes)):
