@@ -10,10 +10,12 @@ pass.  The result is a bitmap per document, run-length coded, and no text; the
 kept text is cut from the documents afterwards.
 
 Hashes are 128 bits wide (two 64-bit hashes).  Defined results: null and empty
-texts are one empty line; a null document id is a document of its own that
-comes after all others; rows that repeat an id are one document; other columns
-are carried along untouched (names that begin with ``_ld_`` are reserved); an
-empty table gives an empty result.
+texts are one empty line; texts and lines may be as long as a row can be; a
+null document id is a document of its own that comes after all others; rows
+that repeat an id are one document; columns named n_lines, n_dropped,
+keep_bitmap or kept_text are replaced by the results, all others are carried
+along untouched (names that begin with ``_ld_`` are reserved); an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,10 +37,10 @@ def _lines(text: Column) -> Column:
 
 
 def bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_ld_id, _ld_text (a hash of the text), runs, keep_bitmap, n_dropped of each text that loses lines.
+    """_ld_id, _ld_text (a hash of the text), _ld_gone (the dropped lines' positions, in order) of each text that loses lines.
 
-    runs: (start, length) of the kept lines, in order; keep_bitmap: the same
-    numbers as big-endian 32-bit integers.
+    ``dedup`` turns the positions into kept runs (start, length) of 32-bit
+    big-endian integers, the keep_bitmap, where it knows a text's last line.
     """
     n = parallelism(docs.sparkSession)
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))

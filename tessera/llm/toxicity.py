@@ -22,8 +22,10 @@ rows, drawn by a hash of the id; the model has at most ``MODEL_WORDS`` entries
 Defined results: null and empty texts have no passage and the lowest score;
 labels that are null or of no document are not used; without both labels
 present nothing is toxic (score 0); rows with a null id are scored, not held
-out, and never fitted on; repeated rows are scored each; an empty table gives
-an empty result.
+out, and never fitted on; repeated rows are scored each; texts may be as long
+as a row can be; input columns named toxic_score or toxic_passages are replaced
+by the results, all others are carried along; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -45,6 +47,9 @@ MODEL_WORDS = 50_000
 OPENINGS = (4, 5, 6)
 #: Cost of a word that isn't toxic; strength of the prior, as a share of all uses; log-odds and toxic texts of a toxic word at least.
 NEUTRAL, PRIOR, ODDS_LEAST, USES = -0.7, 0.02, 1.5, 4
+#: Lambda at most (without clean uses of the kept words it would be unbounded), and how far below the
+#: expected largest of so many chance z-scores, sqrt(2 ln tested), a word's may lie: the prior shrinks all z-scores.
+SCALE_MOST, Z_SLACK = 2.0, 1.4
 #: Expected chance segments below which a passage is significant.
 E_MAX = 0.05
 WORD = re.compile(r"[^\W\d_]+")
@@ -170,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     counted = counted.filter(~F.col("word").isin(WORDS, PARTS))
     tested = counted.filter(f"t >= {USES}").count()
     # the more words are tested, the larger is the largest z-score of a word that means nothing
-    z_least = max(2.0, math.sqrt(2 * math.log(1 + tested)) - 1.4)
+    z_least = max(2.0, math.sqrt(2 * math.log(1 + tested)) - Z_SLACK)
     model = Model()
     clean_words, toxic_words = sums.get(WORDS, (0, 0))
     if not clean_words or not toxic_words:
@@ -191,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
         middle = (low + high) / 2
         over = (clean[:, 1] * np.exp(np.minimum(middle * clean[:, 0], 600))).sum() + rest * math.exp(middle * NEUTRAL) > 1
         low, high = (low, middle) if over else (middle, high)
-    model.scale = min(low, 2.0)
+    model.scale = min(low, SCALE_MOST)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +226,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with toxic_score (0 to 1) and toxic_passages (word spans with score and expected chance number)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    docs = docs.drop("toxic_score", "toxic_passages")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     schema = docs.limit(0).withColumns({"toxic_score": F.lit(0.0), "toxic_passages": F.lit(None).cast(SPAN)}).schema

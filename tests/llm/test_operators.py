@@ -426,6 +426,13 @@ def test_pipeline_stages_on_odd_rows(spark):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (7, None, "en", None, 0), (7, "", None, "s", None), (8, "a line that is long enough\nx", "en", "s", 28), (None, "a line that is long enough", "en", "s", 26)], "doc_id long, text string, lang string, source string, n_chars long")
     odd = odd.select([F.col(f.name).cast(f.dataType) for f in docs.schema])
+    # names that operators use for their own columns, and a very long text
+    clash = odd.unionByName(odd.limit(1).withColumns({"doc_id": F.lit(9).cast(docs.schema["doc_id"].dataType), "text": F.lit("word " * 200_000)}))
+    clash = clash.withColumns({c: F.lit("own") for c in ("toxic_score", "kept_text", "n_dropped", "id", "row", "token", "n")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, sf_dir)
+        assert out.columns == clash.columns and out.count() == 6, name
+        assert {tuple(r) for r in out.select("toxic_score", "kept_text", "n_dropped", "id", "row", "token", "n").collect()} == {("own",) * 7}, name
     for rows in (odd, odd.limit(0)):
         n = rows.count()
         for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -435,3 +442,24 @@ def test_pipeline_stages_on_odd_rows(spark):
         packed = corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).collect()
         starts = [r for r in packed if r.start == 0]
         assert len(starts) == n and sum(r.length for r in packed) == sum(r.doc_tokens for r in starts)
+
+
+def test_token_counts_query_against_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tessera.llm.token_counts import op9_token_counts
+
+    texts = ["one two  three\n", "same text", "same text", None, "", "same text", "a <|endoftext|> b", "long " * 30_000]
+    rows = [(i, t, ["en", "de", None][i % 3], "s" if i % 2 else None, len(t or ""), 1) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_tokens int"
+    for name, some in (("full", rows), ("empty", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        tok, first, want = Tokenizer.from_file(P.path("byte_bpe_50k.json")), {}, {}
+        for i, t, lang, source, *_ in some:
+            if first.setdefault(t or "", i) != i:
+                continue
+            for version, n in (("byte_bpe_50k", len(tok.encode(t or "", add_special_tokens=False).ids)), ("words", len((t or "").split()))):
+                docs, tokens = want.get((source, lang, version), (0, 0))
+                want[source, lang, version] = docs + 1, tokens + n
+        got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in op9_token_counts(spark, f"{tmp_path}/{name}").collect()}
+        assert got == want
