@@ -1,17 +1,22 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding runs as one narrow stage, so nothing of a text is shuffled:
-
-1. a Python pass streams each partition's rows and sends, ahead of every batch
-   of documents, the words (pre-tokens) that this partition has not met yet;
-2. Spark higher-order functions fold ranked merges over the bytes of each of
-   these distinct words, with the ranks as one literal map;
-3. a second Python pass, fed in the same order, keeps the folded words and puts
-   each document's ids together.
-
-A fold's step reads the whole word, so a word costs the square of its bytes.
-Words of more than ``LONG`` bytes (unbroken runs, not words of a language) are
-merged in the second pass with a heap instead, to the same ids.
+Spark higher-order functions fold ranked merges over the bytes of distinct
+words (pre-tokens), with the ranks as one literal map:
+
+1. the words that several partitions hold are counted and folded once for the
+   whole table; at most ``SHARED`` of them, the most widespread, are sent to
+   all tasks as arrays of fixed size (hash, ids);
+2. a Python pass streams each partition's rows, turns every text into the codes
+   of its words, and sends, ahead of the documents, each word that it has not
+   met yet: with its ids if it is a token itself or shared, else as bytes;
+3. these are folded in the same stage;
+4. a second Python pass, fed in the same order, keeps the ids of each code and
+   puts each document's ids together.
+
+No text is shuffled, only the words of step 1.  A fold's step reads the whole
+word, so a word costs the square of its bytes.  Words of more than ``LONG``
+bytes (unbroken runs, not words of a language) are merged in step 2 with a heap
+instead, to the same ids.
 
 A partition's word list is started anew when it holds ``max_words`` words or
 ``MAX_HELD`` characters, on both sides at the same row, so memory is bounded
@@ -21,9 +26,10 @@ executor repeats a split.
 Decoding concatenates the ids' binary pieces.
 
 Defined results: a null or empty text has no ids; null ids (of a document or
-of words) never occur in the output; repeated rows are encoded each; columns
-other than the id and the text are left out, so none can clash.  Text is split
-by the tables for letters and numbers of the ``regex`` module.
+of words) never occur in the output; repeated rows are encoded each; texts may
+be as long as a row can be; columns other than the id and the text are left
+out, so none can clash; an empty table gives an empty result.  Text is split by
+the tables for letters and numbers of the ``regex`` module.
 """
 
 from __future__ import annotations
@@ -31,25 +37,27 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word list of this many entries is dropped and begun again.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 500_000
 #: So is one of this many characters.
-MAX_HELD = 64_000_000
+MAX_HELD = 32_000_000
+#: Words that are folded once and sent to all tasks, at most.
+SHARED = 1 << 20
 #: Bytes of the longest word that is folded.
 LONG = 1024
+#: Bytes of text that a worker splits at once.
+SLICE = 4 << 20
 #: Bits of an id in the literal rank map: a pair of ids and the id it makes share one 64-bit integer.
 ID_BITS = 20
 #: Stands for "no such pair" among ranks.
 NO_RANK = (1 << 20) - 1
-#: A space between two characters that aren't white space always begins a word, so texts can be cut there.
-SEAM = re.compile(r"(?<=\S) (?=\S)")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -162,119 +170,261 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> bytes:
     return b"".join(ranks[p].to_bytes(4, "little") for p in pieces if p is not None)
 
 
-def _words_first(pattern: str, sent, max_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``most`` bytes of a string or binary column, one row at least."""
+    import numpy as np
+
+    at, ends = 0, np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), "i8"))
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _spans(starts, lengths):
+    """The positions start, start + 1, ... of each span, one span after the other."""
+    import numpy as np
+
+    lengths = np.asarray(lengths, "i8")
+    return np.repeat(np.asarray(starts, "i8") - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def _binaries(flat, counts) -> pa.Array:
+    """Binary values of so many 32-bit integers each."""
+    import numpy as np
+
+    ends = np.concatenate([[0], np.cumsum(np.asarray(counts, "i8") * 4)]).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.astype("<u4").tobytes())])
+
+
+class Splitter:
+    """Words of many texts at once; a text is cut at its spaces, and each distinct piece is split by the pattern once."""
+
+    def __init__(self, pattern: str):
         import regex
 
-        ranks, find = sent.value, regex.compile(pattern).findall
-        byte_ids = [ranks.get(bytes([b])) for b in range(256)]
-        known, firsts, others, held = set(), set(), set(), 0
+        self._find, self._blank = regex.compile(pattern).findall, regex.compile(r"\s").match
+
+    def __call__(self, texts: pa.Array) -> tuple[list[list[str]], list]:
+        """The words of each distinct unit, and each text's units in order.
+
+        A space before a character that isn't white space always begins a
+        word, so a text can be cut there.  A text with other spaces is one unit.
+        """
+        import numpy as np
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(texts, " ")
+        counts = np.asarray(split.value_lengths(), "i8")
+        starts = np.cumsum(counts) - counts
+        coded = split.flatten().dictionary_encode()
+        pieces, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype("i8")
+        first = np.zeros(len(codes), bool)
+        first[starts] = True
+        unsafe = np.array([not v or self._blank(v) is not None for v in pieces], bool)[codes] & ~first
+        whole = np.logical_or.reduceat(unsafe, starts)
+        rest = ~first & ~np.repeat(whole, counts)
+        used = np.unique(codes[rest])
+        unit_of = np.full(len(pieces), -1)
+        unit_of[used] = np.arange(len(used))
+        units = [self._find(" " + pieces[v]) for v in used.tolist()]
+        out = []
+        for row, (start, count) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
+            units.append(self._find(texts[row].as_py() if whole[row] else pieces[codes[start]]))
+            own = np.array([len(units) - 1])
+            out.append(own if whole[row] else np.concatenate([own, unit_of[codes[start + 1 : start + count]]]))
+        return units, out
+
+
+def _distinct_words(pattern: str, sent, max_words: int):
+    """The words of a partition that are folded (now and then a word comes again)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, split, met = sent.value, Splitter(pattern), set()
         for batch in batches:
-            texts, fresh = batch.column(1).to_pylist(), []
-            for text in texts:
-                first, *rest = SEAM.split(text or "")
-                new = set(rest) - others
-                others |= new
-                new = [" " + part for part in new]
-                if first not in firsts:
-                    firsts.add(first)
-                    new.append(first)
-                for part in new:
-                    held += len(part)
-                    for word in find(part):
-                        if word not in known and len(raw := word.encode()) <= LONG:
-                            known.add(word)
-                            if raw not in ranks:
-                                fresh.append(word)
-            begin, n = len(known) + len(others) > max_words or held > MAX_HELD, len(fresh)
-            yield pa.record_batch(
-                {
-                    "id": pa.concat_arrays([pa.nulls(n, pa.int64()), batch.column(0)]),
-                    "text": pa.array(fresh + texts, pa.string()),
-                    "word": pa.array([[byte_ids[b] for b in w.encode()] for w in fresh] + [None] * len(texts), pa.list_(pa.int64())),
-                    "begin": pa.array([False] * (n + len(texts) - 1) + [begin], pa.bool_()),
-                }
-            )
-            if begin:
-                known, firsts, others, held = set(), set(), set(), 0
+            for piece in _slices(batch, 0, SLICE):
+                words = {w for unit in split(pa.compute.coalesce(piece.column(0), pa.scalar("")))[0] for w in unit} - met
+                met |= words
+                fresh = [w for w in words if len(raw := w.encode()) <= LONG and raw not in ranks]
+                yield pa.record_batch({"word": pa.array(fresh, pa.string())})
+                if len(met) > max_words:
+                    met = set()
 
     return run
 
 
-def _put_together(pattern: str, sent):
+def _byte_ids(ranks: dict[bytes, int]) -> str:
+    """SQL for the ids of the single bytes of the binary ``raw``."""
+    ids = ",".join(str(ranks[bytes([b])]) for b in range(256))
+    byte = "cast(conv(substr(hex(raw), 2 * i + 1, 2), 16, 10) as int)"
+    return f"transform(sequence(0, length(raw) - 1), i -> get(array({ids}), {byte}))"
+
+
+def shared_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, max_words: int = MAX_WORDS, shared: int = SHARED):
+    """(hashes in order, where each one's ids start, all ids): the most widespread words that several partitions hold."""
+    import numpy as np
+
+    from tessera.llm.runtime import settle
+
+    sent = rows.sparkSession.sparkContext.broadcast(ranks)
+    counted = rows.select("text").mapInArrow(_distinct_words(pattern, sent, max_words), "word string").groupBy("word").agg(F.count("*").alias("n"))
+    counted = settle(counted.filter("n > 1"), "bpe-words")
+    # the least number of partitions with which at most so many words are left
+    least, left = 2, 0
+    for n, words in counted.groupBy("n").count().orderBy(F.desc("n")).collect():
+        if left + words > shared:
+            least = n + 1
+            break
+        left += words
+    # a row a word, 8 + 4 bytes and 4 for each id, of at most SHARED words
+    chosen = counted.filter(F.col("n") >= least).withColumn("raw", F.encode("word", "UTF-8"))
+    table = chosen.select("raw", F.xxhash64("raw").alias("h"), F.expr(f"cast({_byte_ids(ranks)} as array<bigint>) AS bytes"))
+    table = settle(table.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism)).select("h", F.expr(fold_expression(ranks, "bytes")).alias("ids")), "bpe-folded").toArrow()
+    hashes, ids = table["h"].combine_chunks().to_numpy(zero_copy_only=False), table["ids"].combine_chunks()
+    order = np.argsort(hashes)
+    lengths = np.asarray(ids.value_lengths(), "i8") if len(ids) else np.zeros(0, "i8")
+    flat = np.asarray(ids.flatten(), "<u4") if len(ids) else np.zeros(0, "<u4")
+    sorted_ids = flat[_spans((np.cumsum(lengths) - lengths)[order], lengths[order])]
+    return hashes[order], np.concatenate([[0], np.cumsum(lengths[order])]).astype("i4"), sorted_ids
+
+
+CODED = "id long, codes binary, known binary, word array<bigint>, begin boolean"
+
+
+def _words_first(pattern: str, sent, sent_shared, max_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import regex
-
-        ranks, find, words, parts = sent.value, regex.compile(pattern).findall, {}, {}
+        import xxhash
 
-        def id_of(word: str) -> bytes:
-            raw = word.encode()
-            return ranks[raw].to_bytes(4, "little") if raw in ranks else merge_long(raw, ranks)
+        ranks, split = sent.value, Splitter(pattern)
+        hashes, starts, shared_ids = sent_shared.value
+        byte_ids = [ranks.get(bytes([b])) for b in range(256)]
+        code_of: dict[str, int] = {}
+        held = 0
 
-        def ids_of(part: str) -> bytes:
-            parts[part] = found = b"".join([words[w] if w in words else id_of(w) for w in find(part)])
-            return found
+        def ids_of(raw: bytes) -> bytes | None:
+            if raw in ranks:
+                return ranks[raw].to_bytes(4, "little")
+            return merge_long(raw, ranks) if len(raw) > LONG else None
 
         for batch in batches:
-            is_doc = batch.column(2).is_null().to_numpy(zero_copy_only=False)
-            begins = batch.column(3).to_numpy(zero_copy_only=False)
-            texts, ids = batch.column(1), batch.column(4)
-            if not is_doc.all():
-                new = np.flatnonzero(~is_doc)
-                taken = ids.take(pa.array(new))
-                ends = np.asarray(taken.offsets)
-                flat = np.asarray(taken.values, "<u4").tobytes()
-                for k, word in enumerate(texts.take(pa.array(new)).to_pylist()):
-                    words[word] = flat[4 * ends[k] : 4 * ends[k + 1]]
-            keys, out = [], []
-            names = batch.column(0).to_pylist()
-            for row in np.flatnonzero(is_doc):
-                first, *rest = SEAM.split(texts[row].as_py() or "")
-                whole = [parts.get(first) or ids_of(first)] if first else []
-                whole += [parts.get(p) or ids_of(p) for p in [" " + x for x in rest]]
-                keys.append(names[row])
-                out.append(b"".join(whole))
-                if begins[row]:
-                    words, parts = {}, {}
-            yield pa.record_batch({"id": pa.array(keys, pa.int64()), "ids": pa.array(out, pa.binary())})
+            for piece in _slices(batch, 1, SLICE):
+                units, rows = split(pa.compute.coalesce(piece.column(1), pa.scalar("")))
+                before, flat = len(code_of), np.fromiter((code_of.setdefault(w, len(code_of)) for unit in units for w in unit), "i8")
+                fresh = [w.encode() for w in list(code_of)[before:]]
+                held += sum(map(len, fresh))
+                known = [ids_of(raw) for raw in fresh]
+                asked = [i for i, x in enumerate(known) if x is None]
+                if asked and len(hashes):
+                    h = np.array([xxhash.xxh64_intdigest(fresh[i], seed=42) for i in asked], "u8").view("i8")
+                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    for k in np.flatnonzero(hashes[at] == h).tolist():
+                        known[asked[k]] = shared_ids[starts[at[k]] : starts[at[k] + 1]].tobytes()
+                lengths = np.array([len(u) for u in units], "i8")
+                unit_starts = np.cumsum(lengths) - lengths
+                sequence = np.concatenate(rows)
+                codes = flat[_spans(unit_starts[sequence], lengths[sequence])]
+                row_ends = np.cumsum([len(r) for r in rows])
+                counts = np.diff(np.concatenate([[0], np.cumsum(lengths[sequence])[row_ends - 1]]))
+                begin, n, m = len(code_of) > max_words or held > MAX_HELD, len(fresh), len(rows)
+                folded = [None if x is not None else [byte_ids[b] for b in raw] for raw, x in zip(fresh, known, strict=True)]
+                yield pa.record_batch(
+                    {
+                        "id": pa.concat_arrays([pa.nulls(n, pa.int64()), piece.column(0)]),
+                        "codes": pa.concat_arrays([pa.nulls(n, pa.binary()), _binaries(codes, counts)]),
+                        "known": pa.array(known + [None] * m, pa.binary()),
+                        "word": pa.array(folded + [None] * m, pa.list_(pa.int64())),
+                        "begin": pa.array([False] * (n + m - 1) + [begin], pa.bool_()),
+                    }
+                )
+                if begin:
+                    code_of, held = {}, 0
 
     return run
 
 
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, ids) of each document, from its words' codes and the ids of all codes so far."""
+    import numpy as np
+
+    none = np.zeros(0, "<u4"), np.zeros(0, "i8")
+    flat, lengths = none
+    for batch in batches:
+        is_doc = batch.column("codes").is_valid().to_numpy(zero_copy_only=False)
+        begins = batch.column("begin").to_numpy(zero_copy_only=False)
+        turns = np.flatnonzero((is_doc[:-1] & ~is_doc[1:]) | begins[:-1]) + 1
+        for low, high in zip([0, *turns.tolist()], [*turns.tolist(), len(is_doc)], strict=True):
+            part = batch.slice(low, high - low)
+            n_words = int((~is_doc[low:high]).sum())
+            if n_words:
+                known, folded = part.column("known").slice(0, n_words), part.column("folded").slice(0, n_words)
+                n_known = np.asarray(pa.compute.fill_null(pa.compute.binary_length(known), 0), "i8") // 4
+                n_folded = np.asarray(pa.compute.fill_null(folded.value_lengths(), 0), "i8")
+                each = n_known + n_folded
+                new, at = np.empty(each.sum(), "<u4"), np.cumsum(each) - each
+                new[_spans(at, n_known)] = np.frombuffer(b"".join(known.drop_null().to_pylist()), "<u4")
+                new[_spans(at, n_folded)] = np.asarray(folded.flatten(), "<u4")
+                flat, lengths = np.concatenate([flat, new]), np.concatenate([lengths, each])
+            starts = np.cumsum(lengths) - lengths
+            for docs in _slices(part.slice(n_words).select(["id", "codes"]), 1, SLICE):
+                raw = docs.column(1).to_pylist()
+                codes, counts = np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw])
+                each = lengths[codes]
+                total = np.concatenate([[0], np.cumsum(each)])[np.cumsum(counts)]
+                ids = flat[_spans(starts[codes], each)]
+                yield pa.record_batch({"id": docs.column(0), "ids": _binaries(ids, np.diff(np.concatenate([[0], total])))})
+            if begins[high - 1]:
+                flat, lengths = none
+
+
+def _decoded(pieces_sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    piece = pieces_sent.value.__getitem__
+    for batch in batches:
+        for part in _slices(batch, 1, SLICE):
+            whole = [b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(1).to_pylist()]
+            yield pa.record_batch({"id": part.column(0), "ids": part.column(1), "decoded": pa.array(whole, pa.binary())})
+
+
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    return pieces
+
+
+def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, max_words: int) -> DataFrame:
+    context = docs.sparkSession.sparkContext
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sent, sent_shared = context.broadcast(ranks), context.broadcast(shared_words(rows, ranks, pattern, max_words))
+    marked = rows.mapInArrow(_words_first(pattern, sent, sent_shared, max_words), CODED)
+    return marked.withColumn("folded", F.expr(f"CASE WHEN word IS NOT NULL THEN {fold_expression(ranks, 'word')} END")).drop("word")
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """Each row's id and ``ids``: its text's token ids as little-endian unsigned 32-bit integers."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marked = rows.mapInArrow(_words_first(pattern, sent, max_words), "id long, text string, word array<bigint>, begin boolean")
-    folded = marked.withColumn("ids", F.expr(f"CASE WHEN word IS NOT NULL THEN {fold_expression(ranks, 'word')} END"))
-    return folded.mapInArrow(_put_together(pattern, sent), "id long, ids binary").withColumnRenamed("id", id_col)
+    folded = _folded(docs, ranks, pattern, id_col, text_col, max_words)
+    return folded.mapInArrow(_put_together, "id long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Each row's id and ``decoded``: the bytes of its ids' pieces, one after the other; null ids count as none."""
-    size = max(ranks.values()) + 1
-    pieces = [b""] * size
-    for token, rank in ranks.items():
-        pieces[rank] = token
-    sent = encoded.sparkSession.sparkContext.broadcast(pieces)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    sent = encoded.sparkSession.sparkContext.broadcast(_pieces(ranks))
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return rows.mapInArrow(lambda batches: _decoded(sent, batches), "id long, ids binary, decoded binary").withColumnsRenamed({"id": id_col, "ids": ids_col})
 
-        piece = sent.value.__getitem__
-        for batch in batches:
-            whole = [b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch({"id": batch.column(0), "ids": batch.column(1), "decoded": pa.array(whole, pa.binary())})
 
-    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, "id long, ids binary, decoded binary").withColumnsRenamed({"id": id_col, "ids": ids_col})
+def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+    """``decode`` of what ``encode`` gives, in the worker that put the ids together."""
+    sent = docs.sparkSession.sparkContext.broadcast(_pieces(ranks))
+    folded = _folded(docs, ranks, pattern, id_col, text_col, max_words)
+    return folded.mapInArrow(lambda batches: _decoded(sent, _put_together(batches)), "id long, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of each document's ids and of their decoded bytes."""
-    both = decode(encode(docs, ranks, pattern), ranks)
-    return both.select(
+    return encode_decode(docs, ranks, pattern).select(
         "doc_id",
         F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
