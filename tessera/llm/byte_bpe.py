@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -54,6 +55,8 @@ SHARED = 1 << 20
 LONG = 1024
 #: Bytes of text that a worker splits at once.
 SLICE = 4 << 20
+#: Marks that end a piece of text and are words of their own there.
+MARKS = ".,;:!?"
 #: Bits of an id in the literal rank map: a pair of ids and the id it makes share one 64-bit integer.
 ID_BITS = 20
 #: Stands for "no such pair" among ranks.
@@ -204,6 +207,17 @@ class Splitter:
         import regex
 
         self._find, self._blank = regex.compile(pattern).findall, regex.compile(r"\s").match
+        # whether the pattern keeps a space with the letters after it, and apart from the mark that follows
+        self._usual = self._find(" Ab,") == [" Ab", ","] and all(self._find(f" a{c}") == [" a", c] for c in MARKS)
+
+    def _after_space(self, piece: str) -> list[str]:
+        """The words of a space and a piece: most are letters, or letters and one mark."""
+        if self._usual and piece.isascii():
+            if piece.isalpha():
+                return [" " + piece]
+            if piece[-1] in MARKS and piece[:-1].isalpha():
+                return [" " + piece[:-1], piece[-1]]
+        return self._find(" " + piece)
 
     def __call__(self, texts: pa.Array) -> tuple[list[list[str]], list]:
         """The words of each distinct unit, and each text's units in order.
@@ -221,13 +235,13 @@ class Splitter:
         pieces, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype("i8")
         first = np.zeros(len(codes), bool)
         first[starts] = True
-        unsafe = np.array([not v or self._blank(v) is not None for v in pieces], bool)[codes] & ~first
+        unsafe = np.array([not v or (not v[0].isalnum() and self._blank(v) is not None) for v in pieces], bool)[codes] & ~first
         whole = np.logical_or.reduceat(unsafe, starts)
         rest = ~first & ~np.repeat(whole, counts)
         used = np.unique(codes[rest])
         unit_of = np.full(len(pieces), -1)
         unit_of[used] = np.arange(len(used))
-        units = [self._find(" " + pieces[v]) for v in used.tolist()]
+        units = [self._after_space(pieces[v]) for v in used.tolist()]
         out = []
         for row, (start, count) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
             units.append(self._find(texts[row].as_py() if whole[row] else pieces[codes[start]]))
@@ -242,8 +256,8 @@ def _distinct_words(pattern: str, sent, max_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, split, met = sent.value, Splitter(pattern), set()
         for batch in batches:
-            for piece in _slices(batch, 0, SLICE):
-                words = {w for unit in split(pa.compute.coalesce(piece.column(0), pa.scalar("")))[0] for w in unit} - met
+            for piece in _slices(batch, 0, 2 * SLICE):
+                words = set(itertools.chain.from_iterable(split(pa.compute.coalesce(piece.column(0), pa.scalar("")))[0])) - met
                 met |= words
                 fresh = [w for w in words if len(raw := w.encode()) <= LONG and raw not in ranks]
                 yield pa.record_batch({"word": pa.array(fresh, pa.string())})
@@ -253,11 +267,22 @@ def _distinct_words(pattern: str, sent, max_words: int):
     return run
 
 
-def _byte_ids(ranks: dict[bytes, int]) -> str:
-    """SQL for the ids of the single bytes of the binary ``raw``."""
-    ids = ",".join(str(ranks[bytes([b])]) for b in range(256))
-    byte = "cast(conv(substr(hex(raw), 2 * i + 1, 2), 16, 10) as int)"
-    return f"transform(sequence(0, length(raw) - 1), i -> get(array({ids}), {byte}))"
+def _as_bytes(sent):
+    """(hash, ids of the single bytes) of each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        ranks = sent.value
+        id_of = np.array([ranks[bytes([b])] for b in range(256)], "i8")
+        for batch in batches:
+            raw = [w.encode() for w in batch.column(0).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(w) for w in raw])]).astype("i4")
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(id_of[np.frombuffer(b"".join(raw), "u1")]))
+            yield pa.record_batch({"h": pa.array(np.array([xxhash.xxh64_intdigest(w) for w in raw], "u8").view("i8")), "bytes": ids})
+
+    return run
 
 
 def shared_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, max_words: int = MAX_WORDS, shared: int = SHARED):
@@ -277,9 +302,9 @@ def shared_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, max_wor
             break
         left += words
     # a row a word, 8 + 4 bytes and 4 for each id, of at most SHARED words
-    chosen = counted.filter(F.col("n") >= least).withColumn("raw", F.encode("word", "UTF-8"))
-    table = chosen.select("raw", F.xxhash64("raw").alias("h"), F.expr(f"cast({_byte_ids(ranks)} as array<bigint>) AS bytes"))
-    table = settle(table.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism)).select("h", F.expr(fold_expression(ranks, "bytes")).alias("ids")), "bpe-folded").toArrow()
+    chosen = counted.filter(F.col("n") >= least).select("word").repartition(rows.sparkSession.sparkContext.defaultParallelism * 4)
+    spelled = chosen.mapInArrow(_as_bytes(sent), "h long, bytes array<bigint>")
+    table = settle(spelled.select("h", F.expr(fold_expression(ranks, "bytes")).alias("ids")), "bpe-folded").toArrow()
     hashes, ids = table["h"].combine_chunks().to_numpy(zero_copy_only=False), table["ids"].combine_chunks()
     order = np.argsort(hashes)
     lengths = np.asarray(ids.value_lengths(), "i8") if len(ids) else np.zeros(0, "i8")
@@ -310,13 +335,13 @@ def _words_first(pattern: str, sent, sent_shared, max_words: int):
         for batch in batches:
             for piece in _slices(batch, 1, SLICE):
                 units, rows = split(pa.compute.coalesce(piece.column(1), pa.scalar("")))
-                before, flat = len(code_of), np.fromiter((code_of.setdefault(w, len(code_of)) for unit in units for w in unit), "i8")
+                before, flat = len(code_of), np.fromiter((code_of.setdefault(w, len(code_of)) for w in itertools.chain.from_iterable(units)), "i8")
                 fresh = [w.encode() for w in list(code_of)[before:]]
                 held += sum(map(len, fresh))
                 known = [ids_of(raw) for raw in fresh]
                 asked = [i for i, x in enumerate(known) if x is None]
                 if asked and len(hashes):
-                    h = np.array([xxhash.xxh64_intdigest(fresh[i], seed=42) for i in asked], "u8").view("i8")
+                    h = np.array([xxhash.xxh64_intdigest(fresh[i]) for i in asked], "u8").view("i8")
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                     for k in np.flatnonzero(hashes[at] == h).tolist():
                         known[asked[k]] = shared_ids[starts[at[k]] : starts[at[k] + 1]].tobytes()
