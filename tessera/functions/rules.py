@@ -149,3 +149,8 @@ NONRUNTIME_MARKERS = ("dev", "develop", "development", "doc", "docs", "lint", "t
 API_MARKERS = ("/v1", "/chat", "/complet", "/generat", "/infer", "/models")
 CREDENTIAL = r"\b[A-Z][A-Z0-9_]{2,}_(?:API_KEY|API_TOKEN|ACCESS_TOKEN|ENDPOINT)\b"
 SERVICE_CANDIDATES = ("unmapped_credential", "unmapped_api_domain", "openai_compatible_provider_unresolved")
+
+# Base names that are no sources, answers that stand for a missing object, and the texts that tables hold for no value.
+EXCLUDED_NAMES = ("readme.md", "license", "license.txt", ".gitattributes", ".gitignore")
+GONE_CODES = (400, 401, 403, 404, 410)
+NO_VALUE = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")

@@ -273,4 +273,6 @@ def oracles() -> dict[str, str]:
         "stratified_bootstrap": f"{items}, placed AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sample_id) - 1 AS idx, count(*) OVER (PARTITION BY stratum) AS n FROM items), d AS (SELECT stratum, draw, {index('n', str(SEED), 'stratum', 'draw', 'idx')} AS idx, count(*) AS m FROM placed, range({DRAWS}) t(draw) GROUP BY 1, 2, 3), per AS (SELECT draw, coalesce({quality.format(w='m / pi')}, 0) / sum(m / pi) FILTER (WHERE predicted = 1) AS p FROM d JOIN placed p ON p.stratum = d.stratum AND p.idx = d.idx GROUP BY 1) SELECT round(quantile_cont(p, 0.025), 7) AS precision_ci_low, round(quantile_cont(p, 0.975), 7) AS precision_ci_high FROM per",
         "audit_checks": f"t AS (SELECT layer, sum(share) AS total, sum(share * share) AS hhi, count(*) AS k FROM ({ranked(weights('edges', 'layer'), 'layer')}) GROUP BY 1) SELECT * FROM (SELECT 'shares_sum_to_one' AS \"check\", bool_and(abs(total - 1) < 1e-9) AS pass FROM t UNION ALL SELECT 'hhi_at_least_even', bool_and(hhi >= 1.0 / k - 1e-12) FROM t UNION ALL SELECT 'hhi_at_most_one', bool_and(hhi <= 1) FROM t UNION ALL SELECT 'all_layers', count(*) = 3 FROM t)",
     }
-    return {name: f"WITH {SQL.strip()}{'' if text.lstrip().startswith('SELECT') else ','} {text}" for name, text in sql.items()}
+    from tessera.plans import audits
+
+    return audits.sql_texts() | {name: f"WITH {SQL.strip()}{'' if text.lstrip().startswith('SELECT') else ','} {text}" for name, text in sql.items()}

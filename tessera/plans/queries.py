@@ -594,3 +594,6 @@ def audit_checks(r):
     ranked = C.ranking(C.fractional_weights(r.edges(), by=("layer",)), ("layer",))
     total = ranked.groupBy("layer").agg(F.sum("share").alias("total"), F.sum(F.col("share") * F.col("share")).alias("hhi"), F.count("*").alias("k"))
     return V.gate(total, {"shares_sum_to_one": F.bool_and(F.abs(F.col("total") - 1) < 1e-9), "hhi_at_least_even": F.bool_and(F.col("hhi") >= 1 / F.col("k") - 1e-12), "hhi_at_most_one": F.bool_and(F.col("hhi") <= 1), "all_layers": F.count("*") == 3})
+
+
+from tessera.plans import audits  # noqa: E402,F401  registers its queries

@@ -10,16 +10,50 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import rules
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, literal: bool = False) -> DataFrame:
-    """A CSV with a header.  literal: no value means null, and a byte order mark before the first name is dropped."""
+    """A CSV with a header; without a schema its columns are typed by their values.  literal: no value means null, and a byte order mark before the first name is dropped."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     if literal:
         reader = reader.option("nullValue", "\x00").option("emptyValue", "")
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
+    if literal:  # the reader gives unquoted empty fields as nulls
+        df = df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c, t in df.dtypes if t == "string"})
+    elif not schema:
+        df = typed(df)
     return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns if c.startswith("﻿")})
 
 
+def typed(df: DataFrame) -> DataFrame:
+    """String columns with the usual spellings of no value as nulls, and as longs, doubles or booleans where all their values are."""
+    columns = {c: F.when(~F.col(f"`{c}`").isin(*rules.NO_VALUE), F.col(f"`{c}`")) for c, t in df.dtypes if t == "string"}
+    df = df.withColumns(columns)
+    if not columns:
+        return df
+    kinds = ("bigint", "double", "boolean")
+    fits = [(F.count(F.expr(f"try_cast(`{c}` AS {k})")) == F.count(f"`{c}`")).alias(f"{i}:{k}") for i, c in enumerate(columns) for k in kinds]
+    found = df.agg(*fits, *[F.count(f"`{c}`").alias(f"{i}:n") for i, c in enumerate(columns)]).first()
+    return df.withColumns({c: F.col(f"`{c}`").cast(k) for i, c in enumerate(columns) if found[f"{i}:n"] and (k := next((k for k in kinds if found[f"{i}:{k}"]), None))})
+
+
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """key and value (JSON text) of whole-file JSON objects, gzip-compressed or not; any other document raises."""
+    texts = spark.read.text(path, wholetext=True)
+    parsed = texts.select(F.col("value").alias("text"), F.from_json("value", "map<string,string>").alias("entries"))
+    sound = F.when(F.ltrim("text").startswith("{") & F.col("entries").isNotNull(), F.col("entries")).otherwise(F.raise_error(F.lit("not a JSON object")).cast("map<string,string>"))
+    return parsed.select(F.explode(F.map_entries(sound)).alias("e")).select("e.key", "e.value")
+
+
+def search_rankings(lists: DataFrame, compact: DataFrame, queries: list[str], arms: list[str]) -> DataFrame:
+    """The flattened lists if they cover the whole design, else the compact table; raises if that doesn't either."""
+    for found in (flatten_rankings(lists), compact.select("query", "arm", "rank", "space_id")):
+        if missing_lists(found, queries, arms).isEmpty():
+            return found
+    raise ValueError("neither the lists nor the compact table cover the design")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
