@@ -1,10 +1,10 @@
 """Near-duplicates among embeddings with a pivot-permutation index.
 
 Pivots are a bounded sample of the vectors.  A vector is described by its
-``NEAREST`` closest pivots in order; it enters the inverted list of each.  Two
-vectors are candidates if they share at least ``SHARED`` of these pivots, and
-are verified by their cosine in double precision.  ``SHARED`` is 1: every pair
-that meets in a list is verified, and neither counts nor order of pivots prune.
+``NEAREST`` closest pivots in order, and enters the inverted lists of the first
+``LISTS`` of them.  Two vectors that meet in a list are candidates if their
+descriptions share at least ``SHARED`` pivots, and are verified by their cosine
+in double precision.
 
 Lists are worked on in blocks: long lists are cut into chunks and each pair of
 chunks is a task of its own, so no task grows with a list.  Inside a block,
@@ -14,15 +14,19 @@ link count per vector and, for the components, one edge from each vector to
 the least it is connected with in the block: rows grow with the vectors, not
 with the pairs.
 
-The pivots are a documented bounded sample (at most ``MAX_PIVOTS``, broadcast);
-every vector is indexed.  The index is approximate: pairs that share too few
-pivots are missed, no pair below the threshold is ever linked.
+The pivots are a documented bounded sample (one for ``VECTORS_A_PIVOT`` vectors,
+at most ``MAX_PIVOTS``, broadcast); every vector is indexed.  The index is
+approximate: pairs that share too few pivots are missed, no pair below the
+threshold is ever linked.
 
 Equal vectors are one representative with a multiplicity, so copies cost one
-row.  Defined results: vectors that are null, zero, or hold null or non-finite
-components, link with nothing and stay, one row each; vectors of unlike
-dimension never link; repeated ids are merged into one row of that id (the
-link counts of its rows added up); rows whose id is null are left out.
+row.  Defined results, one row for each row of the table: vectors that are
+null, zero, or hold null or non-finite components, link with nothing; vectors
+of unlike dimension never link; rows that repeat an id are vectors of their
+own, whether their components differ or not; rows whose id is null link like
+others, but name no component, so theirs is null if no id is reachable; columns
+other than the id and the vector are left out, so none can clash; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +40,12 @@ from pyspark.sql import functions as F
 from tessera.llm.components import components
 from tessera.llm.runtime import settle
 
-#: One pivot for so many vectors; never more than MAX_PIVOTS (at 64 dimensions 2 MB).
-VECTORS_A_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 32, 16, 4096
-#: Pivots that describe a vector, and how many of them a candidate pair shares.
-NEAREST, SHARED = 8, 1
+#: One pivot for so many vectors; never more than MAX_PIVOTS (at 64 dimensions 16 MB).
+VECTORS_A_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 32, 16, 1 << 15
+#: Pivots that describe a vector, the lists that it enters, and how many pivots a candidate pair shares.
+NEAREST, LISTS, SHARED = 16, 8, 3
+#: Products of vectors and pivots that are held at once.
+HELD = 1 << 22
 #: Rows of a chunk of an inverted list.
 CHUNK = 1024
 
@@ -60,12 +66,13 @@ def _describe(sent):
                 v = np.stack([flat[s : s + dim] for s in starts[rows]])
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 names, p = pivots[int(dim)]
-                near = v @ p.T
                 m = min(NEAREST, len(p))
-                top = np.argpartition(-near, m - 1, axis=1)[:, :m]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-                for r, ids in zip(rows, names[top], strict=True):
-                    out[r] = ids
+                for at in range(0, len(v), max(1, HELD // len(p))):
+                    near = v[at : at + max(1, HELD // len(p))] @ p.T
+                    top = np.argpartition(-near, m - 1, axis=1)[:, :m]
+                    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+                    for r, ids in zip(rows[at:], names[top], strict=False):
+                        out[r] = ids
             yield pa.record_batch({"id": batch.column(0), "vec": vectors, "n": batch.column(2), "near": pa.array(out, pa.list_(pa.int32()))})
 
     return run
@@ -81,12 +88,13 @@ def _link_block(threshold: float):
         a = np.flatnonzero(chunk == left)
         b = a if left == right else np.flatnonzero(chunk == right)
         seen, at = np.unique(near, return_inverse=True)
-        has = np.zeros((len(ids), len(seen)), "f4")
-        has[np.arange(len(ids))[:, None], at.reshape(near.shape)] = 1
-        earlier = has[:, seen < pivot]
-        linked = (v[a] @ v[b].T >= threshold) & (earlier[a] @ earlier[b].T == 0)
-        if SHARED > 1:
-            linked &= has[a] @ has[b].T >= SHARED
+        at = at.reshape(near.shape)
+        has, listed = np.zeros((len(ids), len(seen)), "f4"), np.zeros((len(ids), len(seen)), "f4")
+        has[np.arange(len(ids))[:, None], at] = 1
+        listed[np.arange(len(ids))[:, None], at[:, :LISTS]] = 1
+        earlier = listed[:, seen < pivot]
+        candidate = (has[a] @ has[b].T >= min(SHARED, near.shape[1])) & (earlier[a] @ earlier[b].T == 0)
+        linked = candidate & (v[a] @ v[b].T >= threshold)
         if left == right:
             np.fill_diagonal(linked, False)
         count = np.zeros(len(ids), "int64")
@@ -113,13 +121,15 @@ def _link_block(threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id, n_links, component_id, kept for each id of ``vectors``."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec")).filter("id IS NOT NULL")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"))
     sound = "vec IS NOT NULL AND size(vec) > 0 AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(vec, x -> x <> 0)"
     rows = rows.withColumn("vec", F.expr(f"CASE WHEN {sound} THEN vec END"))
-    distinct = settle(rows.filter("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vectors")
+    # a number for each distinct vector, fixed by writing it
+    distinct = rows.filter("vec IS NOT NULL").groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    distinct = settle(distinct.withColumn("id", F.monotonically_increasing_id()), "vectors")
     n = distinct.count()
     wanted = max(MIN_PIVOTS, min(MAX_PIVOTS, n // VECTORS_A_PIVOT))
-    sample = distinct.orderBy(F.xxhash64("id")).limit(wanted).select("vec").collect()
+    sample = distinct.orderBy(F.xxhash64("vec"), "id").limit(wanted).select("vec").collect()
     by_dim: dict[int, list] = {}
     for x in sample:
         by_dim.setdefault(len(x.vec), []).append(x.vec)
@@ -134,9 +144,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
             start += 1
     described = distinct.select("id", "vec", "n").mapInArrow(_describe(spark.sparkContext.broadcast(pivots)), "id long, vec array<double>, n long, near array<int>")
     described = settle(described, "described")
-    lists = described.select("id", F.explode("near").alias("pivot"))
+    first = F.slice("near", 1, LISTS)
+    lists = described.select("id", F.explode(first).alias("pivot"))
     chunks = lists.groupBy("pivot").agg(F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("chunks"))
-    entries = described.withColumn("pivot", F.explode("near")).join(F.broadcast(chunks), "pivot")
+    entries = described.withColumn("pivot", F.explode(first)).join(F.broadcast(chunks), "pivot")
     entries = entries.withColumn("chunk", F.expr("cast(pmod(xxhash64(id, pivot), chunks) as int)"))
     dealt = entries.withColumn("other", F.expr("explode(sequence(0, chunks - 1))"))
     dealt = dealt.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
@@ -145,12 +156,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.selectExpr("id AS a", "root AS b"))
     # back to all rows: those of one vector share its links and are links of each other
-    rep = described.select("vec", F.col("id").alias("rep"), "n").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(groups.withColumnsRenamed({"node": "rep", "component": "root"}), "rep", "left")
-    rep = rep.select("vec", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root"))
-    whole = rows.join(rep, "vec", "left").groupBy("id").agg(
-        F.sum(F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0))).alias("n_links"), F.min(F.coalesce("root", "id")).alias("component_id")
-    )
-    return whole.select(F.col("id").alias(id_col), F.col("n_links").cast("long"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    rep = distinct.select("vec", "id", "n", "least").join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    rep = rep.select("vec", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("root"))
+    named = rep.join(rep.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("vec", "n_links", "component_id")
+    whole = rows.join(named, "vec", "left")
+    component = F.when(F.col("vec").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    whole = whole.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return whole.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

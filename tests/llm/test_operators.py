@@ -463,3 +463,27 @@ def test_token_counts_query_against_brute_force(spark, tmp_path):
                 want[source, lang, version] = docs + 1, tokens + n
         got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in op9_token_counts(spark, f"{tmp_path}/{name}").collect()}
         assert got == want
+
+
+def test_embedding_dedup_of_repeated_and_null_ids(spark):
+    from tessera.llm.embedding_dedup import near_duplicates
+
+    near, far = [1.0, 0.05, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, near), (2, far), (None, near), (None, None), (3, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 9, 9) for i, v in rows], "vec_id long, embedding array<float>, n_links int, root int")
+    got = Counter(tuple(r) for r in near_duplicates(df).collect())
+    assert got == Counter({(1, 3, 1, True): 2, (2, 3, 1, False): 1, (2, 0, 2, True): 1, (None, 3, 1, False): 1, (None, 0, None, False): 1, (3, 0, 3, True): 1})
+
+
+def test_embedding_dedup_recall(spark):
+    from tessera.llm.embedding_dedup import near_duplicates
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(700, 32))
+    v = np.concatenate([base, *(base[k : k + 200] + s * rng.normal(size=(200, 32)) for k, s in ((0, 0.1), (100, 0.2), (300, 0.3), (300, 0.35))), base[:1] + 0.2 * rng.normal(size=(300, 32))]).astype("f4")
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in near_duplicates(df).collect()}
+    unit = v.astype("f8") / np.linalg.norm(v.astype("f8"), axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(len(v))])
+    assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
