@@ -14,11 +14,11 @@ Queries meet buckets in blocks of ``BLOCK`` by ``BUCKET`` rows; what moves
 between stages is one row per query and visited bucket, never a pair.
 
 Defined results: vectors that are null, or hold a null or a non-finite
-component, take no part; vectors of unlike dimension are never compared; a row
-is its own id, and repeated rows are rows like any other: each is searched on
-its own and counts as a candidate of the ids that differ from its own; the
-hits of all rows of a query's id are ranked together; ties go to the smaller id; queries without any
-candidate have no row; an empty table gives an empty result.  Components are
+component, take no part; vectors of unlike dimension are never compared; rows
+that repeat an id stand for one query and one candidate, with the best score of
+their vectors; ties go to the smaller id; rows without an id take no part;
+columns other than the id and the vector are left out, so none can clash;
+queries without any candidate have no row; an empty table gives an empty result.  Components are
 taken as 64-bit integers, so |256 x| must stay below 2**31 and dimensions
 below 2**20 for the products to be exact.
 """
@@ -97,6 +97,10 @@ def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
             own = ids if rows is None else ids[rows]
             keep = (own != q_ids[r]) & (score >= floors[r])
             own, score = own[keep], score[keep]
+            if len(own) > len(set(own.tolist())):  # an id in several rows: its best
+                at = np.lexsort((-score, own))
+                at = at[np.concatenate([[True], own[at][1:] != own[at][:-1]])]
+                own, score = own[at], score[at]
             if len(own) > k:
                 cut = np.partition(score, len(score) - k)[len(score) - k]
                 own, score = own[score >= cut], score[score >= cut]
@@ -122,8 +126,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     n_queries = placed.filter("is_query").count()
     blocks = max(1, -(-n_queries // BLOCK))
     queries = placed.filter("is_query").select("pos", "id", "vec", "length2", F.pmod(F.xxhash64("pos"), F.lit(blocks)).alias("block"))
-    probes = placed.select("bucket", "pos", "id", "vec", F.expr(f"explode(sequence(0L, {blocks - 1}L)) AS block"))
-    longest = _meet(queries.withColumns({"bucket": F.lit(0).cast("long"), "floor": F.lit(float("-inf"))}).select("block", "bucket", "pos", "id", "vec", "floor"), probes.filter("bucket = 0"), k)
+    probe = placed.select("bucket", "pos", "id", "vec")
+    longest_probes = probe.filter("bucket = 0").withColumn("block", F.expr(f"explode(sequence(0L, {blocks - 1}L))"))
+    longest = _meet(queries.withColumns({"bucket": F.lit(0).cast("long"), "floor": F.lit(float("-inf"))}).select("block", "bucket", "pos", "id", "vec", "floor"), longest_probes, k)
     longest = settle(longest, "topk-first")
     floors = longest.groupBy("q_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k).select(F.col("q_row").alias("pos"), F.col("least").cast("double").alias("floor"))
     # one length a bucket; a query visits the buckets up to the last whose longest vector can reach its floor
@@ -132,10 +137,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     reach = F.expr("filter(bounds, b -> floor <= 0 OR b.longest * sqrt(length2) * (1 + 1e-9) >= floor)")
     visits = queries.join(floors, "pos", "left").fillna(float("-inf"), ["floor"]).join(F.broadcast(bounds), F.lit(True))
     visits = visits.withColumn("bucket", F.explode(F.transform(reach, lambda b: b["bucket"]))).select("block", "bucket", "pos", "id", "vec", "floor")
-    rest = _meet(visits, probes.filter("bucket > 0"), k)
+    # a bucket is sent to the blocks that visit it, and to no other
+    visited = visits.groupBy("bucket").agg(F.collect_set("block").alias("blocks"))
+    rest = _meet(visits, probe.join(visited, "bucket").withColumn("block", F.explode("blocks")).select("bucket", "pos", "id", "vec", "block"), k)
     # the filter on the row number is also applied before the shuffle: at most k rows leave a task for each query
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), "v_id")
-    hits = longest.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    hits = longest.unionByName(rest).groupBy("q_id", "v_id").agg(F.max("score").alias("score"))
+    hits = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return hits.select(F.col("q_id").alias("query_id"), "rank", F.col("v_id").alias(id_col), "score")
 
 
@@ -150,9 +158,10 @@ WITH v AS (
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+         max(CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT)) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
   WHERE a.vec_id % 50 = 0
+  GROUP BY a.vec_id, b.vec_id
 ), r AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
 )

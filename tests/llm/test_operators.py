@@ -103,11 +103,14 @@ def test_topk_of_repeated_rows(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 6)))]
     rows += [rows[0], rows[0], rows[5], (5, rng.normal(size=6).tolist()), (10, rng.normal(size=6).tolist()), rows[33], rows[34], (35, rows[34][1])]
-    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 5 == 0, 5).orderBy("query_id", "rank").collect()
+    got = topk_search.top_k(spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<float>, score int, bucket int, pos int"), F.col("vec_id") % 5 == 0, 5).orderBy("query_id", "rank").collect()
     v = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in e]) for i, e in rows]
     want = []
     for q in sorted({i for i, _ in v if i % 5 == 0}):
-        s = sorted((-sum(a * b for a, b in zip(x, y)), o) for i, x in v if i == q for o, y in v if o != q)[:5]
+        best = {}
+        for o, m in ((o, sum(a * b for a, b in zip(x, y))) for i, x in v if i == q for o, y in v if o != q):
+            best[o] = max(m, best.get(o, m))
+        s = sorted((-m, o) for o, m in best.items())[:5]
         want += [(q, k + 1, o, -m) for k, (m, o) in enumerate(s)]
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == want
 
