@@ -23,16 +23,30 @@ def matched_projects(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def matched_weights(edges: DataFrame, by: tuple[str, ...] = (), base: str | None = None) -> DataFrame:
-    """Fractional weights of both layers over matched projects."""
-    keep = edges.join(matched_projects(edges, by), [*by, "space_id"], "left_semi").filter(F.col("layer").isin(SERVICE, MODEL))
-    return fractional_weights(keep, by=(*by, "layer"), base=base)
+    """Fractional weights of both layers over matched projects: by, layer, space_id, label, base, w.
+
+    The edges are read once and shuffled once by project, where both layers' labels are counted.
+    """
+    columns = [*by, "layer", "space_id", "provider", *([base] if base else [])]
+    distinct = edges.filter(F.col("layer").isin(SERVICE, MODEL) & named()).select(*columns).distinct()
+    project = Window.partitionBy(*by, "space_id")
+    services, models = (F.sum((F.col("layer") == x).cast("long")).over(project) for x in (SERVICE, MODEL))
+    weight = F.coalesce(F.col(base), F.lit(1.0)) if base else F.lit(1.0)
+    both = distinct.withColumns({"_s": services, "_m": models}).filter("_s > 0 AND _m > 0")
+    labels = F.when(F.col("layer") == SERVICE, F.col("_s")).otherwise(F.col("_m"))
+    return both.select(*by, "layer", "space_id", F.col("provider").alias("label"), weight.alias("base"), (weight / labels).alias("w"))
 
 
 def paired_estimate(edges: DataFrame, by: tuple[str, ...] = (), base: str | None = None) -> DataFrame:
     """by, matched_projects and both layers' indices side by side, service minus model (entropy: model minus service)."""
     weights = matched_weights(edges, by, base)
     projects = weights.groupBy(*by).agg(F.countDistinct("space_id").alias("matched_projects"))
-    found = indices(ranking(weights, (*by, "layer")), (*by, "layer"))
+    return _side_by_side(ranking(weights, (*by, "layer")), projects, by)
+
+
+def _side_by_side(ranked: DataFrame, projects: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The indices of ranked labels (by, layer, label), one row for both layers, with ``projects`` (by, matched_projects)."""
+    found = indices(ranked, (*by, "layer"))
 
     def of(layer: str, column: str):
         return F.max(F.when(F.col("layer") == layer, F.col(column)))
@@ -51,6 +65,30 @@ def paired_estimate(edges: DataFrame, by: tuple[str, ...] = (), base: str | None
     return wide.join(projects, list(by)) if by else wide.crossJoin(F.broadcast(projects))
 
 
+def without_each_provider(edges: DataFrame) -> DataFrame:
+    """``paired_estimate`` by variant, each leaving out one service provider's projects from both layers.
+
+    Leaving whole projects out changes no other project's weights, so each
+    variant is the totals less what its provider's own projects hold: the rows
+    grow with a project's labels, not with edges times providers.  Variants
+    meet labels in a table of label totals only, and a provider whose projects
+    are all the matched ones has no row.
+    """
+    weights = matched_weights(edges)
+    exposed = weights.filter(F.col("layer") == SERVICE).select("space_id", F.col("label").alias("variant"))
+    variants = edges.filter((F.col("layer") == SERVICE) & named()).select(F.col("provider").alias("variant")).distinct()
+    lost = weights.join(exposed, "space_id").groupBy("variant", "layer", "label").agg(F.count("*").alias("lost_projects"), F.sum("w").alias("lost_weight"))
+    totals = weights.groupBy("layer", "label").agg(F.count("*").alias("all_projects"), F.sum("w").alias("all_weight"))
+    # the providers are a taxonomy of tens, and a total is one row a label
+    left = totals.crossJoin(F.broadcast(variants)).join(lost, ["variant", "layer", "label"], "left").fillna(0).filter("all_projects > lost_projects")
+    left = left.select("variant", "layer", "label", (F.col("all_projects") - F.col("lost_projects")).alias("project_count"), (F.col("all_weight") - F.col("lost_weight")).alias("weight"))
+    ranked = left.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("variant", "layer")))
+    own = exposed.groupBy("variant").agg(F.count("*").alias("own"))
+    every = weights.agg(F.countDistinct("space_id").alias("every"))
+    projects = variants.join(own, "variant", "left").crossJoin(F.broadcast(every)).select("variant", (F.col("every") - F.coalesce("own", F.lit(0))).alias("matched_projects"))
+    return _side_by_side(ranked, projects, ("variant",))
+
+
 def paired_draws(edges: DataFrame, count: int, seed: int, base: str | None = None) -> DataFrame:
     """draw, service_hhi, model_hhi, hhi_difference: one resample of projects for both layers (rows keep their weights)."""
     weights = matched_weights(edges, base=base)

@@ -36,7 +36,10 @@ def arm_overlap(rankings: DataFrame) -> DataFrame:
 
 
 def leave_one_provider_out(edges: DataFrame) -> DataFrame:
-    """Edges under each variant that leaves out one service provider's projects, from both layers."""
+    """Edges under each variant that leaves out one service provider's projects, from both layers.
+
+    The definition, for edges of any use; ``paired.without_each_provider`` estimates the same without these rows.
+    """
     service = edges.filter((F.col("layer") == SERVICE) & named())
     providers = service.select(F.col("provider").alias("variant")).distinct()
     exposed = service.select(F.col("provider").alias("variant"), "space_id").distinct()

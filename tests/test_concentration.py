@@ -42,6 +42,20 @@ def test_leave_one_provider_out_removes_projects(spark):
     assert (got["S1"].matched_projects, got["S1"].service_hhi, got["S1"].model_hhi) == (2, 1.0, 0.5)
 
 
+def test_leave_one_provider_out_by_subtraction(spark):
+    rows = [(i, f"S{i % 3}", "service") for i in range(30)] + [(i, f"S{i % 4}", "service") for i in range(20)] + [(i, f"M{i % 5}", "model") for i in range(25)]
+    rows += [(i, f"M{i % 2}", "model") for i in range(12)] + [(90, "alone", "service"), (91, "M9", "model"), (92, "", "service"), (92, "M1", "model"), (93, None, "model"), (1, "r", "runtime")]
+    edges = spark.createDataFrame(rows, EDGES)
+    want = {r.variant: r.asDict() for r in P.paired_estimate(X.leave_one_provider_out(edges), by=("variant",)).collect()}
+    got = {r.variant: r.asDict() for r in P.without_each_provider(edges).collect()}
+    assert got.keys() == want.keys() == {"S0", "S1", "S2", "S3", "alone"}
+    for name, row in want.items():
+        assert got[name].keys() == row.keys()
+        assert all(abs(got[name][c] - v) < 1e-9 if isinstance(v, float) else got[name][c] == v for c, v in row.items()), name
+    # a provider that all matched projects use leaves none
+    assert P.without_each_provider(spark.createDataFrame([(1, "S", "service"), (1, "M", "model")], EDGES)).count() == 0
+
+
 def test_codeclaration_sums_to_one(spark):
     edges = spark.createDataFrame([(1, "S1", "service"), (2, "S2", "service"), (1, "M1", "model"), (2, "M2", "model")], EDGES)
     joint = P.codeclaration(P.matched_weights(edges))
