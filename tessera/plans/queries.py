@@ -212,7 +212,11 @@ def arm_overlap(r):
 
 @query
 def leave_one_provider_out(r):
-    return tidy(P.paired_estimate(X.leave_one_provider_out(r.edges()), by=("variant",)).select("variant", "matched_projects", "service_hhi", "model_hhi", "hhi_difference"))
+    return tidy(P.without_each_provider(r.edges()).select("variant", "matched_projects", "service_hhi", "model_hhi", "hhi_difference"))
+
+
+def _with_each_provider_out(estimates: DataFrame, edges: DataFrame) -> DataFrame:
+    return estimates.unionByName(P.without_each_provider(edges).withColumn("family", F.lit("leave_one_provider_out")))
 
 
 def robustness(r: Roles) -> DataFrame:
@@ -228,9 +232,8 @@ def robustness(r: Roles) -> DataFrame:
         name(_framed(r, X.search_frames(rankings, CUTOFFS)), "rank_cutoff"),
         name(_framed(r, X.without_each(rankings, "query")), "leave_one_query_out"),
         name(_framed(r, arms), "search_arm"),
-        name(X.leave_one_provider_out(edges), "leave_one_provider_out"),
     ]
-    return P.paired_estimate(X.union_all(runs), by=("family", "variant"))
+    return _with_each_provider_out(P.paired_estimate(X.union_all(runs), by=("family", "variant")), edges)
 
 
 @query
@@ -281,7 +284,6 @@ def robustness_full(r: Roles) -> DataFrame:
     weighted = [name(X.weighted_projects(edges, weights.filter(F.col("family") == f).drop("family")), f, F.col("base_weight")) for f in ("weighting", "source_reuse")]
     runs = [
         name(edges.withColumn("variant", F.lit("project_equal")), "primary"),
-        name(X.leave_one_provider_out(edges), "leave_one_provider_out"),
         name(_framed(r, X.search_frames(rankings, CUTOFFS)), "rank_cutoff"),
         name(_framed(r, X.without_each(rankings, "query")), "leave_one_query_out"),
         name(X.evidence_types(edges, HUB_LINKED, CODE_SIGNATURE, PACKAGE), "evidence"),
@@ -290,7 +292,7 @@ def robustness_full(r: Roles) -> DataFrame:
         name(X.namespace_treatments(edges), "model_taxonomy"),
         *weighted,
     ]
-    return P.paired_estimate(X.union_all(runs), by=("family", "variant"), base="base_weight")
+    return _with_each_provider_out(P.paired_estimate(X.union_all(runs), by=("family", "variant"), base="base_weight"), edges)
 
 
 @query
@@ -319,12 +321,12 @@ def jaccard_pairs(r):
 
 @query
 def similarity_clusters(r):
-    return tidy(S.similarity_clusters(S.settle(S.jaccard_pairs(_shingles(r), 0.85), "pairs"), (90,)))
+    return tidy(S.similarity_clusters(S.settle(S.jaccard_links(_shingles(r), 0.85), "links"), (90,)))
 
 
 @query
 def similarity_sensitivity(r):
-    found = S.similarity_clusters(S.settle(S.jaccard_pairs(_shingles(r), 0.85), "pairs"), (85, 90, 95))
+    found = S.similarity_clusters(S.settle(S.jaccard_links(_shingles(r), 0.85), "links"), (85, 90, 95))
     return tidy(found.groupBy("threshold").agg(F.count("*").alias("clustered"), F.countDistinct("component").alias("clusters"), F.max("cluster_size").alias("largest")))
 
 
@@ -335,7 +337,7 @@ def _source_shingles(r: Roles) -> DataFrame:
 
 def _source_assignments(r: Roles) -> DataFrame:
     shingles = S.settle(_source_shingles(r), "source-shingles")
-    pairs = S.settle(S.jaccard_pairs(shingles, 0.85), "pairs")
+    pairs = S.settle(S.jaccard_links(shingles, 0.85), "links")
     return S.assignments(r.table("documents").select(F.col("doc_id").alias("space_id")), pairs, shingles.groupBy("space_id").agg(F.count("*").alias("shingles")), THRESHOLDS)
 
 
