@@ -17,11 +17,20 @@ def named(label: str = "provider") -> Column:
     return F.coalesce(F.col(label), F.lit("")) != ""
 
 
+def checked_weight(base: str | None) -> Column:
+    """A project's weight: 1 where there is none; a negative or non-finite one fails the job."""
+    if not base:
+        return F.lit(1.0)
+    w = F.col(base).cast("double")
+    wrong = F.isnan(w) | (w < 0) | (w == float("inf"))
+    return F.when(wrong, F.raise_error(F.lit(f"{base}: weights must be finite and not negative")).cast("double")).otherwise(F.coalesce(w, F.lit(1.0)))
+
+
 def fractional_weights(edges: DataFrame, label: str = "provider", by: tuple[str, ...] = (), base: str | None = None) -> DataFrame:
     """by, space_id, label, w (the project's weight over its number of distinct labels), base."""
     columns = [*by, "space_id", label, *([base] if base else [])]
     distinct = edges.filter(named(label)).select(*columns).distinct()
-    base_weight = F.coalesce(F.col(base), F.lit(1.0)) if base else F.lit(1.0)
+    base_weight = checked_weight(base)
     labels = F.count("*").over(Window.partitionBy(*by, "space_id"))
     return distinct.select(*by, "space_id", F.col(label).alias("label"), base_weight.alias("base"), (base_weight / labels).alias("w"))
 

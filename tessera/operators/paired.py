@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.concentration import fractional_weights, indices, named, ranking
+from tessera.operators.concentration import checked_weight, fractional_weights, indices, named, ranking
 from tessera.operators.resampling import draws, permutations, positions
 
 SERVICE, MODEL = "service", "model"
@@ -31,7 +31,7 @@ def matched_weights(edges: DataFrame, by: tuple[str, ...] = (), base: str | None
     distinct = edges.filter(F.col("layer").isin(SERVICE, MODEL) & named()).select(*columns).distinct()
     project = Window.partitionBy(*by, "space_id")
     services, models = (F.sum((F.col("layer") == x).cast("long")).over(project) for x in (SERVICE, MODEL))
-    weight = F.coalesce(F.col(base), F.lit(1.0)) if base else F.lit(1.0)
+    weight = checked_weight(base)
     both = distinct.withColumns({"_s": services, "_m": models}).filter("_s > 0 AND _m > 0")
     labels = F.when(F.col("layer") == SERVICE, F.col("_s")).otherwise(F.col("_m"))
     return both.select(*by, "layer", "space_id", F.col("provider").alias("label"), weight.alias("base"), (weight / labels).alias("w"))
@@ -100,6 +100,45 @@ def paired_draws(edges: DataFrame, count: int, seed: int, base: str | None = Non
     return hhi.select("draw", F.col(SERVICE).alias("service_hhi"), F.col(MODEL).alias("model_hhi"), (F.col(SERVICE) - F.col(MODEL)).alias("hhi_difference"))
 
 
+METRICS = ("service_hhi", "model_hhi", "hhi_difference", "hhi_ratio", "service_top_share", "model_top_share", "top_share_difference", "service_shannon", "model_shannon", "entropy_difference")
+
+
+def paired_metric_draws(edges: DataFrame, count: int, seed: int, base: str | None = None) -> DataFrame:
+    """draw and METRICS of the same resamples as ``paired_draws``; projects keep their weights, shares are of the drawn weight."""
+    weights = matched_weights(edges, base=base)
+    placed = positions(weights)
+    taken = draws(placed, count, seed).join(placed, "idx").select("draw", "space_id", "m")
+    ranked = ranking(weights.join(taken, "space_id").withColumn("w", F.col("w") * F.col("m")), ("draw", "layer"))
+
+    def of(layer: str, how, value):
+        return how(F.when(F.col("layer") == layer, value))
+
+    share = F.col("share")
+    surprise = F.when(share > 0, -share * F.ln("share")).otherwise(0.0)
+    parts = (("hhi", F.sum, share * share), ("top_share", F.max, share), ("shannon", F.sum, surprise))
+    sides = ranked.groupBy("draw").agg(*[of(layer, how, value).alias(f"{layer}_{n}") for layer in (SERVICE, MODEL) for n, how, value in parts])
+    return sides.select(
+        "draw",
+        "service_hhi",
+        "model_hhi",
+        (F.col("service_hhi") - F.col("model_hhi")).alias("hhi_difference"),
+        (F.col("service_hhi") / F.col("model_hhi")).alias("hhi_ratio"),
+        "service_top_share",
+        "model_top_share",
+        (F.col("service_top_share") - F.col("model_top_share")).alias("top_share_difference"),
+        "service_shannon",
+        "model_shannon",
+        (F.col("model_shannon") - F.col("service_shannon")).alias("entropy_difference"),
+    )
+
+
+def metric_intervals(table: DataFrame) -> DataFrame:
+    """metric, ci_low, ci_high and the share of draws above 0 of a ``paired_metric_draws`` table."""
+    long = table.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS])).alias("v")).select("v.*")
+    above = (F.count_if(F.col("x") > 0) / F.count("*")).alias("above_zero")
+    return long.groupBy("metric").agg(F.percentile("x", F.lit(0.025)).alias("ci_low"), F.percentile("x", F.lit(0.975)).alias("ci_high"), above)
+
+
 def hhi_draws(edges: DataFrame, count: int, seed: int) -> DataFrame:
     """draw, hhi over resampled projects of one set of layers."""
     weights = fractional_weights(edges)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import concentration as C, relations as L, validation as V
-from tessera.plans.queries import query, tidy
-from tessera.plans.roles import Roles
+from tessera.operators import concentration as C, paired as P, relations as L, validation as V, variants as X
+from tessera.plans import oracle
+from tessera.plans.queries import DRAWS, FULL_DRAWS, SEED, query, tidy
+from tessera.plans.roles import CUTOFFS, SPECS, Roles
 from tessera.sources import tables
 from tessera.sources.durable import shared_dir
 
@@ -207,7 +208,73 @@ def decision_gate(r: Roles):
     return out.unionByName(V.gate(leaders, {"leader_stable": F.countDistinct("leader") == 1}))
 
 
+def _intervals_sql(base: str = "") -> str:
+    """Intervals of all paired metrics from the resamples of ``paired_layer_bootstrap_draws``, by weights of ``base``."""
+    source = f"(SELECT e.*, s.{base} FROM edges e JOIN spaces s USING (space_id))" if base else "edges"
+    sides = ", ".join(f"max({c}) FILTER (WHERE layer = '{x}') AS {x}_{c}" for x in ("service", "model") for c in ("hhi", "top_share", "shannon"))
+    values = {m: m for m in P.METRICS} | {
+        "hhi_difference": "service_hhi - model_hhi",
+        "hhi_ratio": "service_hhi / model_hhi",
+        "top_share_difference": "service_top_share - model_top_share",
+        "entropy_difference": "model_shannon - service_shannon",
+    }
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS metric, round(quantile_cont({x}, 0.025), 7) AS ci_low, round(quantile_cont({x}, 0.975), 7) AS ci_high, round(avg(CAST({x} > 0 AS DOUBLE)), 7) AS above_zero FROM wide" for m, x in values.items())
+    return f"""weighted AS ({oracle.matched_weights(source, base=base)}), placed AS ({oracle.positions('SELECT * FROM weighted')}), drawn AS ({oracle.drawn()}),
+      per AS (SELECT draw, layer, sum(s * s) AS hhi, max(s) AS top_share, -sum(s * ln(s)) AS shannon FROM (SELECT draw, layer, label, sum(w * m) / sum(sum(w * m)) OVER (PARTITION BY draw, layer) AS s FROM weighted JOIN drawn USING (space_id) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+      wide AS (SELECT draw, {sides} FROM per GROUP BY 1) {rows}"""
+
+
+@equals(_intervals_sql())
+def paired_layer_intervals(r: Roles):
+    """Intervals of both layers' indices, their differences and ratio."""
+    return tidy(P.metric_intervals(P.paired_metric_draws(r.edges(), DRAWS, SEED)), 7)
+
+
+def _by_author(r: Roles) -> DataFrame:
+    return r.edges().join(r.spaces().select("space_id", "author_weight"), "space_id")
+
+
+@equals(_intervals_sql("author_weight"))
+def paired_weighted_intervals(r: Roles):
+    """The same with an author's projects sharing one weight: rows are drawn with their weights."""
+    return tidy(P.metric_intervals(P.paired_metric_draws(_by_author(r), DRAWS, SEED, "author_weight")), 7)
+
+
+@query
+def paired_layer_intervals_full(r: Roles):
+    return tidy(P.metric_intervals(P.paired_metric_draws(r.edges(), FULL_DRAWS, SEED)), 7)
+
+
+@query
+def paired_weighted_intervals_full(r: Roles):
+    return tidy(P.metric_intervals(P.paired_metric_draws(_by_author(r), FULL_DRAWS, SEED, "author_weight")), 7)
+
+
+@equals(f"""{oracle.FRAMES}, design AS (
+    SELECT 'rank_cutoff' AS family, CAST(variant AS VARCHAR) AS variant, space_id, provider, layer FROM cutoff_edges
+    UNION ALL SELECT 'leave_one_query_out', variant, space_id, provider, layer FROM query_edges
+    UNION ALL SELECT 'search_arm', variant, space_id, provider, layer FROM arm_edges),
+  spec_edges AS (SELECT d.*, s.analysis FROM design d JOIN specs s ON s.layer = d.layer), w AS ({oracle.weights('spec_edges', 'family, variant, analysis')}),
+  i AS ({oracle.indices('SELECT * FROM w', 'family, variant, analysis')}), n AS (SELECT family, variant, analysis, count(DISTINCT space_id) AS projects FROM w GROUP BY 1, 2, 3)
+  SELECT family, variant, analysis, projects, round(hhi, 7) AS hhi, NULL::DOUBLE AS hhi_difference FROM i JOIN n USING (family, variant, analysis)
+  UNION ALL SELECT family, variant, 'matched_service_minus_model', matched_projects, NULL, round(hhi_difference, 7) FROM ({oracle.paired('design', 'family, variant', columns='family, variant, matched_projects, hhi_difference')})""")
+def search_design_contrasts(r: Roles):
+    """Every search frame (cutoffs, one query left out, one arm) under every analysis, and the matched projects' difference as a row of its own."""
+    rankings, edges = r.rankings(), r.edges()
+    frames = {
+        "rank_cutoff": X.search_frames(rankings, CUTOFFS),
+        "leave_one_query_out": X.without_each(rankings, "query"),
+        "search_arm": rankings.select(F.col("arm").alias("variant"), "space_id").distinct(),
+    }
+    framed = X.union_all([f.select(F.lit(n).alias("family"), F.col("variant").cast("string").alias("variant"), "space_id") for n, f in frames.items()])
+    by = ("family", "variant")
+    design = edges.join(framed, "space_id").select(*by, "space_id", "provider", "layer")
+    single = C.concentration(C.with_specs(design, SPECS), by=(*by, "analysis")).select(*by, "analysis", "projects", "hhi", F.lit(None).cast("double").alias("hhi_difference"))
+    both = P.paired_estimate(design, by=by).select(*by, F.lit("matched_service_minus_model").alias("analysis"), F.col("matched_projects").alias("projects"), F.lit(None).cast("double").alias("hhi"), "hhi_difference")
+    return tidy(single.unionByName(both), 7)
+
+
 def sql_texts() -> dict[str, str]:
     from tessera.plans.roles import SQL
 
-    return {name: f"WITH {SQL.strip()} {text}" for name, text in SQL_TEXTS.items()}
+    return {name: f"WITH {SQL.strip()}{'' if text.lstrip().startswith('SELECT') else ','} {text}" for name, text in SQL_TEXTS.items()}

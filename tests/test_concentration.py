@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import concentration as C, history as H, paired as P, similarity as S, validation as V, variants as X
@@ -103,3 +104,24 @@ def test_stable_sample_ignores_row_order(spark):
     frames = [spark.createDataFrame(x, "id int, s string") for x in (rows, rows[::-1])]
     got = [sorted(r.id for r in V.stable_sample(f, {"a": 7}, "s", "id", "x").collect()) for f in frames]
     assert got[0] == got[1] and len(got[0]) == 7
+
+
+def test_wrong_weights_fail(spark):
+    rows = [(1, "S", "service", 1.0), (1, "M", "model", 1.0), (2, "S", "service", None), (2, "M", "model", None)]
+    schema = f"{EDGES}, weight double"
+    assert one(P.paired_estimate(spark.createDataFrame(rows, schema), base="weight")).matched_projects == 2
+    for wrong in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(Exception, match="finite"):
+            P.paired_estimate(spark.createDataFrame([*rows, (3, "S", "service", wrong), (3, "M", "model", wrong)], schema), base="weight").collect()
+
+
+def test_equal_sets_are_pairs(spark):
+    base = [f"t{i}" for i in range(100)]
+    sets = {1: base, 2: base, 3: base, 4: [*base[:95], *"abcde"], 5: base[:85], 6: base[:84], 7: base[:40], 8: base[:40]}
+    table = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "space_id long, shingle string")
+    big = [i for i, s in sets.items() if len(s) >= 50]
+    want = {(a, b): len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) for a in big for b in big if a < b}
+    want = {k: v for k, v in want.items() if v >= 0.85}
+    assert {(r.left_id, r.right_id): r.jaccard for r in S.jaccard_pairs(table, 0.85).collect()} == want and (5, 6) in want and (1, 5) in want
+    links = S.jaccard_links(table, 0.85).collect()
+    assert {r.node for r in S.connected(S.jaccard_links(table, 0.85)).collect() if r.component == 1} == {1, 2, 3, 4, 5, 6} and len(links) < len(want)
