@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import resampling as R
+from tessera.operators import bootstrap as B
+from tessera.sources.durable import settle
 
 
 def commits_within(commits: DataFrame, snapshot: str) -> DataFrame:
@@ -41,18 +42,22 @@ def version_hhi(versions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def version_draws(versions: DataFrame, count: int, seed: int) -> DataFrame:
     """draw, initial_hhi, current_hhi, hhi_change: one resample of the projects with a signal in both states for both."""
     both = versions.filter((F.size("initial") > 0) & (F.size("current") > 0))
-    placed = R.positions(both, "project")
-    taken = R.draws(placed, count, seed).join(placed, "idx").select("draw", "project", "m")
-    states = F.array(*[F.struct(F.lit(s).alias("state"), F.col(s).alias("labels")) for s in ("initial", "current")])
-    long = both.select("project", F.explode(states).alias("s")).select("project", "s.state", (1 / F.size("s.labels")).alias("w"), F.explode("s.labels").alias("label"))
-    sums = long.join(taken, "project").groupBy("draw", "state", "label").agg(F.sum(F.col("w") * F.col("m")).alias("w"))
-    shares = sums.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("draw", "state")))
-    hhi = shares.groupBy("draw").pivot("state", ["initial", "current"]).agg(F.sum(F.col("share") * F.col("share")))
-    return hhi.select("draw", F.col("initial").alias("initial_hhi"), F.col("current").alias("current_hhi"), (F.col("current") - F.col("initial")).alias("hhi_change"))
+
+    def side(state: str):
+        return F.transform(F.array_sort(state), lambda x: F.struct(x.alias("label"), (1 / F.size(state)).alias("w"))).alias(state)
+
+    columns = ("initial_hhi", "current_hhi", "hhi_change")
+    return B.table(both.select("project", side("initial"), side("current")), ("initial", "current"), count, seed, columns, _change, "project")
+
+
+def _change(sums: list) -> tuple[float, float, float]:
+    initial, current = map(B.hhi, sums)
+    return initial, current, current - initial
 
 
 def version_bootstrap(versions: DataFrame, count: int, seed: int) -> DataFrame:
     """``version_hhi`` with the change's 95 % interval and the share of draws above 0; nulls where no project is paired."""
+    versions = settle(versions, "versions")
     drawn = version_draws(versions, count, seed)
     # rounded, so that no order of summation puts a change of 0 above it
     above = (F.count_if(F.round("hhi_change", 12) > 0) / F.nullif(F.count("*"), F.lit(0))).alias("fraction_above_zero")

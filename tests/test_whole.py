@@ -179,3 +179,23 @@ def test_full_draws(spark, roles):
     values = pd.Series([brute_hhi([labels[order[i]] for i in brute_draw(SEED, d, len(order))]) for d in range(FULL_DRAWS)])
     got = QUERIES["hhi_bootstrap_ci_full"](spark, DATA).first()
     assert (got.hhi_ci_low, got.hhi_ci_high) == pytest.approx(tuple(values.quantile([0.025, 0.975])), abs=2e-8)
+
+
+def test_digests_of_numbered_texts():
+    from tessera.functions import digests
+
+    for prefix in (b"", b"7|0|", b"20260831|15|", b"20260831|en|155|", b"x" * 50, b"y" * 60):
+        for n in (0, 1, 11, 10_001):
+            whole = [hashlib.md5(prefix + b"%d" % i).digest() for i in range(n)]
+            assert digests.first_words(prefix, n).tolist() == [int.from_bytes(x[:4], "big") for x in whole]
+            assert digests.first_longs(prefix, n).tolist() == [int.from_bytes(x[:8], "big") for x in whole]
+            assert digests.order(prefix, n).tolist() == sorted(range(n), key=lambda i: (whole[i], i))
+
+
+def test_version_draws_are_not_tabulated(spark):
+    """A table of draws and projects has 2,000 times their rows; the draws' sums come without one."""
+    from tessera.operators import history as H
+
+    versions = spark.createDataFrame([(i, [f"p{i % 3}"], ["q"], 0) for i in range(9)], "project long, initial array<string>, current array<string>, span_days int")
+    drawn = H.version_draws(versions, 3, 7)
+    assert not re.findall(r"Exchange hashpartitioning\(draw", drawn._jdf.queryExecution().toString()) and drawn.count() == 3
