@@ -111,7 +111,7 @@ def paired_layer_bootstrap_ci(r):
 
 @query
 def paired_layer_bootstrap_ci_full(r):
-    drawn = S.settle(P.paired_draws(r.edges(), FULL_DRAWS, SEED), "paired-draws")
+    drawn = S.settle(P.paired_table(r.edges(), FULL_DRAWS, SEED), "paired-draws")
     return tidy(R.interval(drawn, "hhi_difference").crossJoin(drawn.agg((F.count_if(F.col("hhi_difference") > 0) / F.count("*")).alias("dominance"))))
 
 
