@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import bootstrap as B
 from tessera.operators.resampling import hash_index
 
 LABELS = ("yes", "no", "uncertain")
@@ -83,6 +84,24 @@ def stratified_draws(items: DataFrame, count: int, seed: int, stratum: str = "st
     return taken.join(placed.drop("n"), [stratum, "idx"]).drop("idx")
 
 
+def precision_table(items: DataFrame, count: int, seed: int, stratum: str = "stratum", identity: str = "sample_id") -> DataFrame:
+    """draw, precision: ``weighted_quality`` of ``stratified_draws``, weighted by m / pi, for as many draws as the study has."""
+    order = Window.partitionBy(stratum).orderBy(identity)
+    hit = F.when(F.col("predicted") == 1, F.when(F.col("actual") == 1, "right").otherwise("wrong"))
+    own = F.when(hit.isNull(), F.array()).otherwise(F.array(F.struct(hit.alias("label"), (1 / F.col("pi")).cast("double").alias("w"))))
+    placed = items.select(F.col(stratum).alias("stratum"), (F.row_number().over(order) - 1).alias("idx"), own.alias("own"))
+    # labels in order: "right" before "wrong"; a table without one of them has no such label
+    some = placed.select(F.explode("own").alias("x")).select("x.label").distinct()
+    names = sorted(r[0] for r in some.collect())
+
+    def precision(sums: list) -> tuple[float]:
+        of = dict(zip(names, sums[0].tolist(), strict=True))
+        total = sum(of.values())
+        return (of.get("right", 0.0) / total if total else float("nan"),)
+
+    return B.table(placed, ("own",), count, seed, ("precision",), precision, "idx", strata=True)
+
+
 def gate(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """check, pass: one aggregate over the table for all checks."""
     one = df.agg(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
