@@ -18,7 +18,8 @@ word, so a word costs the square of its bytes.  Words of more than ``LONG``
 bytes (unbroken runs, not words of a language) are merged in step 2 with a heap
 instead, to the same ids.
 
-A partition's word list is started anew when it holds ``max_words`` words or
+A partition's word list is started anew when it holds ``max_words`` words (in
+the folding stage at most ``MAX_CODED``) or
 ``MAX_HELD`` characters, on both sides at the same row, so memory is bounded
 whatever the corpus.  The stage keeps no state outside its partition: a lost
 executor repeats a split.
@@ -47,6 +48,8 @@ from pyspark.sql import functions as F
 
 #: A word list of this many entries is dropped and begun again.
 MAX_WORDS = 500_000
+#: So is one of this many entries in the stage that folds, where two workers of each task hold it.
+MAX_CODED = 200_000
 #: So is one of this many characters.
 MAX_HELD = 32_000_000
 #: Words that are folded once and sent to all tasks, at most.
@@ -423,7 +426,7 @@ def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str,
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sent, sent_shared = context.broadcast(ranks), context.broadcast(shared_words(rows, ranks, pattern, max_words))
-    marked = rows.mapInArrow(_words_first(pattern, sent, sent_shared, max_words), CODED)
+    marked = rows.mapInArrow(_words_first(pattern, sent, sent_shared, min(max_words, MAX_CODED)), CODED)
     return marked.withColumn("folded", F.expr(f"CASE WHEN word IS NOT NULL THEN {fold_expression(ranks, 'word')} END")).drop("word")
 
 
