@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word list of this many entries is dropped and begun again.
@@ -57,9 +57,11 @@ SHARED = 1 << 20
 #: Bytes of the longest word that is folded.
 LONG = 1024
 #: Bytes of text that a worker splits at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Marks that end a piece of text and are words of their own there.
 MARKS = ".,;:!?"
+#: Letters of which a word may consist that is told without the pattern: ranges of Latin script.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: Bits of an id in the literal rank map: a pair of ids and the id it makes share one 64-bit integer.
 ID_BITS = 20
 #: Stands for "no such pair" among ranks.
@@ -119,31 +121,35 @@ def fold_expression(ranks: dict[bytes, int], word: str) -> str:
     The state is one array of 64-bit integers, a piece each: the rank of the
     piece joined with its right neighbour, the piece's first byte, its id.  Its
     least entry is the leftmost pair of the least rank; a step gives that
-    piece its new id, drops its neighbour and looks up the two pairs that this
-    makes.  As many steps as the word has bytes are enough; further steps
-    change nothing.
+    piece its new id, drops its neighbour, looks up the two pairs that this
+    makes and keeps what lies before and after.  As many steps as the word has
+    bytes are enough; further steps change nothing.
     """
     shifts, slots = _slots(pair_ranks(ranks))
+    slots = [None if x < 0 else x for x in slots]
     low = (1 << ID_BITS) - 1
 
     def rank(left: str, right: str) -> str:
-        """The rank of two neighbouring ids, NO_RANK without such a token or a right neighbour."""
+        """The rank of two neighbouring ids, NO_RANK without such a token or a right neighbour (least() passes over nulls)."""
         key = f"(({left}) * {1 << ID_BITS}L + ({right}))"
         slot = f"get(slots, cast((({key} % 2147483629) + get(shifts, cast({key} % {len(shifts)} as int))) % {len(slots)} as int))"
-        return f"CASE WHEN shiftright({slot}, {ID_BITS}) = {key} THEN {slot} & {low} ELSE {NO_RANK}L END"
+        return f"least({slot} ^ shiftleft({key}, {ID_BITS}), {NO_RANK}L)"  # equal keys leave the rank, others more
 
-    def piece(rank_sql: str, at: str, own: str) -> str:
-        return f"shiftleft({rank_sql}, {2 * ID_BITS}) + ({at}) * {1 << ID_BITS}L + ({own})"
+    def piece(rank_sql: str, at_and_id: str) -> str:
+        return f"shiftleft({rank_sql}, {2 * ID_BITS}) + ({at_and_id})"
 
-    at_of, id_of = (lambda x: f"shiftright({x}, {ID_BITS}) & {low}"), (lambda x: f"{x} & {low}")
-    merged = f"shiftright(m, {2 * ID_BITS})"
-    start = f"transform({word}, (b, i) -> {piece(rank('b', f'get({word}, i + 1)'), 'i', 'b')})"
+    def id_of(x: str) -> str:
+        return f"{x} & {low}"
+
+    merged, left = f"shiftright(m, {2 * ID_BITS})", "get(s, p - 2)"
+    start = f"transform({word}, (b, i) -> {piece(rank('b', f'get({word}, i + 1)'), f'i * {1 << ID_BITS}L + b')})"
+    joined = piece(rank(merged, id_of("get(s, p + 1)")), f"(m & {low << ID_BITS}L) + {merged}")
+    neighbour = piece(rank(id_of(left), merged), f"{left} & {(1 << 2 * ID_BITS) - 1}L")
     changed = (
-        f"transform(s, (x, i) -> CASE WHEN x = m THEN {piece(rank(merged, id_of('get(s, i + 2)')), at_of('x'), merged)}"
-        f" WHEN get(s, i - 1) = m THEN NULL"
-        f" WHEN get(s, i + 1) = m THEN {piece(rank(id_of('x'), merged), at_of('x'), id_of('x'))} ELSE x END)"
+        f"CASE WHEN p = 1 THEN concat(array({joined}), slice(s, 3, {1 << 30}))"
+        f" ELSE concat(slice(s, 1, p - 2), array({neighbour}, {joined}), slice(s, p + 2, {1 << 30})) END"
     )
-    step = _let("m", "array_min(s)", f"CASE WHEN m >= {NO_RANK << (2 * ID_BITS)}L THEN s ELSE filter({changed}, x -> x IS NOT NULL) END")
+    step = _let("m", "array_min(s)", f"CASE WHEN m >= {NO_RANK << (2 * ID_BITS)}L THEN s ELSE {_let('p', 'cast(array_position(s, m) as int)', changed)} END")
     fold = f"aggregate(slice({word}, 2, {1 << 30}), {start}, (s, _) -> {step}, s -> transform(s, x -> cast({id_of('x')} as int)))"
     literals = [f"from_json('{json.dumps(x, separators=(',', ':'))}', 'array<{kind}>')" for x, kind in ((shifts, "int"), (slots, "bigint"))]
     return _let("shifts", literals[0], _let("slots", literals[1], fold))
@@ -203,27 +209,38 @@ def _binaries(flat, counts) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.astype("<u4").tobytes())])
 
 
+def _listed(values: pa.Array) -> list:
+    """``to_pylist`` without a scalar object for each value."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _hashes(words: pa.Array):
+    """64-bit hashes of binary values."""
+    import numpy as np
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, _listed(words)), "u8", len(words))
+
+
 class Splitter:
-    """Words of many texts at once; a text is cut at its spaces, and each distinct piece is split by the pattern once."""
+    """Words of many texts at once: a text is cut at its spaces, and of the distinct pieces only those are split by the pattern that aren't letters, or letters and one mark."""
 
     def __init__(self, pattern: str):
         import regex
 
         self._find, self._blank = regex.compile(pattern).findall, regex.compile(r"\s").match
+        letters = " " + "".join(regex.findall(f"[{LETTERS}]", "".join(map(chr, range(0x250)))))
         # whether the pattern keeps a space with the letters after it, and apart from the mark that follows
-        self._usual = self._find(" Ab,") == [" Ab", ","] and all(self._find(f" a{c}") == [" a", c] for c in MARKS)
+        self._usual = self._find(letters) == [letters] and all(self._find(letters + c) == [letters, c] and self._find(f" a{c}") == [" a", c] for c in MARKS)
+
+    def _plain(self, pieces: pa.Array, ending: str):
+        """Which pieces are letters and then ``ending``."""
+        import numpy as np
 
-    def _after_space(self, piece: str) -> list[str]:
-        """The words of a space and a piece: most are letters, or letters and one mark."""
-        if self._usual and piece.isascii():
-            if piece.isalpha():
-                return [" " + piece]
-            if piece[-1] in MARKS and piece[:-1].isalpha():
-                return [" " + piece[:-1], piece[-1]]
-        return self._find(" " + piece)
+        return np.asarray(pa.compute.match_substring_regex(pieces, f"^[{LETTERS}]+{ending}\\z")) & self._usual
 
-    def __call__(self, texts: pa.Array) -> tuple[list[list[str]], list]:
-        """The words of each distinct unit, and each text's units in order.
+    def __call__(self, texts: pa.Array) -> tuple:
+        """The distinct words, all texts' words in order as positions among them, and how many each text has.
 
         A space before a character that isn't white space always begins a
         word, so a text can be cut there.  A text with other spaces is one unit.
@@ -231,41 +248,69 @@ class Splitter:
         import numpy as np
         import pyarrow.compute as pc
 
+        texts = texts.cast(pa.string())
         split = pc.split_pattern(texts, " ")
         counts = np.asarray(split.value_lengths(), "i8")
         starts = np.cumsum(counts) - counts
         coded = split.flatten().dictionary_encode()
-        pieces, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype("i8")
+        pieces, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         first = np.zeros(len(codes), bool)
         first[starts] = True
-        unsafe = np.array([not v or (not v[0].isalnum() and self._blank(v) is not None) for v in pieces], bool)[codes] & ~first
-        whole = np.logical_or.reduceat(unsafe, starts)
+        plain, marked = self._plain(pieces, ""), self._plain(pieces, f"[{MARKS}]")
+        other = ~plain & ~marked
+        unsafe = np.zeros(len(pieces), bool)
+        unsafe[other] = [not v or (not v[0].isalnum() and self._blank(v) is not None) for v in _listed(pieces.filter(pa.array(other)))]
+        whole = np.logical_or.reduceat(unsafe[codes] & ~first, starts)
         rest = ~first & ~np.repeat(whole, counts)
-        used = np.unique(codes[rest])
+        used = np.zeros(len(pieces), bool)
+        used[codes[rest]] = True
+        plain, marked, other = np.flatnonzero(plain & used), np.flatnonzero(marked & used), np.flatnonzero(other & used)
+        heads = _listed(pieces.take(pa.array(codes[starts])))
+        units = [self._find(" " + v) for v in _listed(pieces.take(pa.array(other)))]
+        units += [self._find(texts[row].as_py() if cut else head) for row, (cut, head) in enumerate(zip(whole.tolist(), heads, strict=True))]
+        # the words of plain pieces, of marked ones, their marks, and those of the other units, one after the other
+        with_mark = pieces.take(pa.array(marked))
+        words = [pieces.take(pa.array(plain)), pc.utf8_slice_codeunits(with_mark, 0, -1)]
+        words = [*(pc.binary_join_element_wise("", x, " ") for x in words), pc.utf8_slice_codeunits(with_mark, -1)]
+        words = pa.concat_arrays([*words, pa.array(itertools.chain.from_iterable(units), pa.string())]).dictionary_encode()
+        n, m, of_words = len(plain), len(marked), words.indices.to_numpy(zero_copy_only=False)
+        of_words = np.concatenate([of_words[:n], of_words[n : n + 2 * m].reshape(2, m).T.ravel(), of_words[n + 2 * m :]])
+        lengths = np.concatenate([np.ones(n, "i8"), np.full(m, 2), np.array([len(u) for u in units], "i8")])
+        at = np.cumsum(lengths) - lengths
         unit_of = np.full(len(pieces), -1)
-        unit_of[used] = np.arange(len(used))
-        units = [self._after_space(pieces[v]) for v in used.tolist()]
-        out = []
-        for row, (start, count) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
-            units.append(self._find(texts[row].as_py() if whole[row] else pieces[codes[start]]))
-            own = np.array([len(units) - 1])
-            out.append(own if whole[row] else np.concatenate([own, unit_of[codes[start + 1 : start + count]]]))
-        return units, out
+        unit_of[np.concatenate([plain, marked, other])] = np.arange(n + m + len(other))
+        sequence = unit_of[codes]
+        sequence[starts] = n + m + len(other) + np.arange(len(starts))
+        sequence, n_units = sequence[first | rest], np.where(whole, 1, counts)
+        each = lengths[sequence]
+        return words.dictionary, of_words[_spans(at[sequence], each)], np.add.reduceat(each, np.cumsum(n_units) - n_units)
+
+
+def _tokens(ranks: dict[bytes, int]) -> tuple:
+    """All tokens, their ids, and the ids of the single bytes."""
+    import numpy as np
+
+    return pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), "i8"), np.array([ranks[bytes([b])] for b in range(256)], "i8")
 
 
 def _distinct_words(pattern: str, sent, max_words: int):
     """The words of a partition that are folded (now and then a word comes again)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, split, met = sent.value, Splitter(pattern), set()
+        import numpy as np
+        import pyarrow.compute as pc
+
+        tokens, split, met = _tokens(sent.value)[0], Splitter(pattern), np.zeros(0, "u8")
         for batch in batches:
-            for piece in _slices(batch, 0, 2 * SLICE):
-                words = set(itertools.chain.from_iterable(split(pa.compute.coalesce(piece.column(0), pa.scalar("")))[0])) - met
-                met |= words
-                fresh = [w for w in words if len(raw := w.encode()) <= LONG and raw not in ranks]
-                yield pa.record_batch({"word": pa.array(fresh, pa.string())})
-                if len(met) > max_words:
-                    met = set()
+            for piece in _slices(batch, 0, SLICE):
+                words = split(pc.coalesce(piece.column(0), pa.scalar("")))[0]
+                raw = words.cast(pa.binary())
+                words = words.filter(pc.and_(pc.less_equal(pc.binary_length(raw), LONG), pc.invert(pc.is_in(raw, tokens))))
+                hashes = _hashes(words.cast(pa.binary()))
+                fresh = np.ones(len(hashes), bool) if not len(met) else met[np.minimum(np.searchsorted(met, hashes), len(met) - 1)] != hashes
+                yield pa.record_batch({"word": words.filter(pa.array(fresh))})
+                met = np.sort(np.concatenate([met, hashes[fresh]])) if len(met) <= max_words else np.zeros(0, "u8")
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -275,20 +320,18 @@ def _as_bytes(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import xxhash
 
-        ranks = sent.value
-        id_of = np.array([ranks[bytes([b])] for b in range(256)], "i8")
+        id_of = _tokens(sent.value)[2]
         for batch in batches:
-            raw = [w.encode() for w in batch.column(0).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(w) for w in raw])]).astype("i4")
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(id_of[np.frombuffer(b"".join(raw), "u1")]))
-            yield pa.record_batch({"h": pa.array(np.array([xxhash.xxh64_intdigest(w) for w in raw], "u8").view("i8")), "bytes": ids})
+            raw = batch.column(0).cast(pa.binary())
+            ends = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.binary_length(raw), "i8"))]).astype("i4")
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(id_of[np.frombuffer(b"".join(_listed(raw)), "u1")]))
+            yield pa.record_batch({"h": pa.array(_hashes(raw).view("i8")), "word": ids})
 
     return run
 
 
-def shared_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, max_words: int = MAX_WORDS, shared: int = SHARED):
+def shared_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, fold: Column, max_words: int = MAX_WORDS, shared: int = SHARED):
     """(hashes in order, where each one's ids start, all ids): the most widespread words that several partitions hold."""
     import numpy as np
 
@@ -306,8 +349,8 @@ def shared_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, max_wor
         left += words
     # a row a word, 8 + 4 bytes and 4 for each id, of at most SHARED words
     chosen = counted.filter(F.col("n") >= least).select("word").repartition(rows.sparkSession.sparkContext.defaultParallelism * 4)
-    spelled = chosen.mapInArrow(_as_bytes(sent), "h long, bytes array<bigint>")
-    table = settle(spelled.select("h", F.expr(fold_expression(ranks, "bytes")).alias("ids")), "bpe-folded").toArrow()
+    spelled = chosen.mapInArrow(_as_bytes(sent), "h long, word array<bigint>")
+    table = settle(spelled.select("h", fold.alias("ids")), "bpe-folded").toArrow()
     hashes, ids = table["h"].combine_chunks().to_numpy(zero_copy_only=False), table["ids"].combine_chunks()
     order = np.argsort(hashes)
     lengths = np.asarray(ids.value_lengths(), "i8") if len(ids) else np.zeros(0, "i8")
@@ -322,51 +365,50 @@ CODED = "id long, codes binary, known binary, word array<bigint>, begin boolean"
 def _words_first(pattern: str, sent, sent_shared, max_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import xxhash
 
         ranks, split = sent.value, Splitter(pattern)
+        tokens, token_ids, byte_ids = _tokens(ranks)
         hashes, starts, shared_ids = sent_shared.value
-        byte_ids = [ranks.get(bytes([b])) for b in range(256)]
         code_of: dict[str, int] = {}
         held = 0
-
-        def ids_of(raw: bytes) -> bytes | None:
-            if raw in ranks:
-                return ranks[raw].to_bytes(4, "little")
-            return merge_long(raw, ranks) if len(raw) > LONG else None
-
         for batch in batches:
             for piece in _slices(batch, 1, SLICE):
-                units, rows = split(pa.compute.coalesce(piece.column(1), pa.scalar("")))
-                before, flat = len(code_of), np.fromiter((code_of.setdefault(w, len(code_of)) for w in itertools.chain.from_iterable(units)), "i8")
-                fresh = [w.encode() for w in list(code_of)[before:]]
-                held += sum(map(len, fresh))
-                known = [ids_of(raw) for raw in fresh]
-                asked = [i for i, x in enumerate(known) if x is None]
-                if asked and len(hashes):
-                    h = np.array([xxhash.xxh64_intdigest(fresh[i]) for i in asked], "u8").view("i8")
+                words, positions, counts = split(pa.compute.coalesce(piece.column(1), pa.scalar("")))
+                before, code = len(code_of), np.fromiter((code_of.setdefault(w, len(code_of)) for w in _listed(words)), "i8", len(words))
+                fresh = words.filter(pa.array(code >= before)).cast(pa.binary())
+                sizes = np.asarray(pa.compute.binary_length(fresh), "i8")
+                held += int(sizes.sum())
+                token = pa.compute.fill_null(pa.compute.index_in(fresh, tokens), -1).to_numpy(zero_copy_only=False)
+                is_token = token >= 0
+                known: list[bytes | None] = [None] * len(fresh)
+                for i, x in zip(np.flatnonzero(is_token).tolist(), token_ids[token[is_token]].tolist(), strict=True):
+                    known[i] = x.to_bytes(4, "little")
+                for i in np.flatnonzero(~is_token & (sizes > LONG)).tolist():
+                    known[i] = merge_long(fresh[i].as_py(), ranks)
+                asked = ~is_token & (sizes <= LONG)
+                if asked.any() and len(hashes):
+                    h = _hashes(fresh.filter(pa.array(asked))).view("i8")
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    for k in np.flatnonzero(hashes[at] == h).tolist():
-                        known[asked[k]] = shared_ids[starts[at[k]] : starts[at[k] + 1]].tobytes()
-                lengths = np.array([len(u) for u in units], "i8")
-                unit_starts = np.cumsum(lengths) - lengths
-                sequence = np.concatenate(rows)
-                codes = flat[_spans(unit_starts[sequence], lengths[sequence])]
-                row_ends = np.cumsum([len(r) for r in rows])
-                counts = np.diff(np.concatenate([[0], np.cumsum(lengths[sequence])[row_ends - 1]]))
-                begin, n, m = len(code_of) > max_words or held > MAX_HELD, len(fresh), len(rows)
-                folded = [None if x is not None else [byte_ids[b] for b in raw] for raw, x in zip(fresh, known, strict=True)]
+                    found = hashes[at] == h
+                    for i, k in zip(np.flatnonzero(asked)[found].tolist(), at[found].tolist(), strict=True):
+                        known[i] = shared_ids[starts[k] : starts[k + 1]].tobytes()
+                    asked[np.flatnonzero(asked)[found]] = False
+                begin, n, m = len(code_of) > max_words or held > MAX_HELD, len(fresh), len(piece)
+                spelled = byte_ids[np.frombuffer(b"".join(_listed(fresh.filter(pa.array(asked)))), "u1")]
+                ends = np.concatenate([[0], np.cumsum(np.where(asked, sizes, 0)), np.full(m, len(spelled))]).astype("i4")
+                folded = pa.ListArray.from_arrays(pa.array(ends), pa.array(spelled), mask=pa.array(np.concatenate([~asked, np.ones(m, bool)])))
                 yield pa.record_batch(
                     {
                         "id": pa.concat_arrays([pa.nulls(n, pa.int64()), piece.column(0)]),
-                        "codes": pa.concat_arrays([pa.nulls(n, pa.binary()), _binaries(codes, counts)]),
+                        "codes": pa.concat_arrays([pa.nulls(n, pa.binary()), _binaries(code[positions], counts)]),
                         "known": pa.array(known + [None] * m, pa.binary()),
-                        "word": pa.array(folded + [None] * m, pa.list_(pa.int64())),
+                        "word": folded,
                         "begin": pa.array([False] * (n + m - 1) + [begin], pa.bool_()),
                     }
                 )
                 if begin:
                     code_of, held = {}, 0
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -390,7 +432,7 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 n_folded = np.asarray(pa.compute.fill_null(folded.value_lengths(), 0), "i8")
                 each = n_known + n_folded
                 new, at = np.empty(each.sum(), "<u4"), np.cumsum(each) - each
-                new[_spans(at, n_known)] = np.frombuffer(b"".join(known.drop_null().to_pylist()), "<u4")
+                new[_spans(at, n_known)] = np.frombuffer(b"".join(_listed(known.drop_null())), "<u4")
                 new[_spans(at, n_folded)] = np.asarray(folded.flatten(), "<u4")
                 flat, lengths = np.concatenate([flat, new]), np.concatenate([lengths, each])
             starts = np.cumsum(lengths) - lengths
@@ -425,9 +467,11 @@ def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
 def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, max_words: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sent, sent_shared = context.broadcast(ranks), context.broadcast(shared_words(rows, ranks, pattern, max_words))
+    fold = F.expr(fold_expression(ranks, "word"))
+    sent, sent_shared = context.broadcast(ranks), context.broadcast(shared_words(rows, ranks, pattern, fold, max_words))
+    pa.default_memory_pool().release_unused()
     marked = rows.mapInArrow(_words_first(pattern, sent, sent_shared, min(max_words, MAX_CODED)), CODED)
-    return marked.withColumn("folded", F.expr(f"CASE WHEN word IS NOT NULL THEN {fold_expression(ranks, 'word')} END")).drop("word")
+    return marked.withColumn("folded", F.when(F.col("word").isNotNull(), fold)).drop("word")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:

@@ -73,6 +73,23 @@ def test_bpe_of_long_words(spark):
     assert all(bytes(got[i].decoded) == t.encode() for i, t in enumerate(texts))
 
 
+def test_bpe_splits_letters_without_the_pattern():
+    import pyarrow as pa
+    import regex
+    from tessera.llm import byte_bpe as B
+
+    split, seen = B.Splitter(P.PATTERN), []
+    find = split._find
+    split._find = lambda text: seen.append(text) or find(text)
+    odd = ["", " ", "two  spaces y", "tab\tand line\nand more", "a\u00a0b \u2003c", "日本 語, ẞa ªb", "it's don't, x., 5 a5 a_b \u0300a", "end, ", "end,\n", ". a. .", "ñ"]
+    texts = ["Señor árbol, plain words; ǅungla: ɏ! " * 3 + "fin", *odd, None, *(a + b for a in odd for b in odd)]
+    words, positions, counts = split(pa.array([t or "" for t in texts]))
+    got = np.split(np.array(words.to_pylist(), object)[positions], np.cumsum(counts)[:-1])
+    assert [x.tolist() for x in got] == [regex.findall(P.PATTERN, t or "") for t in texts]
+    assert not {" árbol,", " plain", " words;", " ǅungla:", " ɏ!"} & set(seen) and " a5" in seen
+    assert len(set(words.to_pylist())) == len(words)
+
+
 def vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 8))
