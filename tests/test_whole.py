@@ -201,6 +201,20 @@ def test_permutations_pass_the_driver_by(spark, roles, monkeypatch):
             assert {r.draw: r.mi for r in P.permutation_table(w, 3, SEED).collect() if r.draw >= 0} == pytest.approx(null, abs=1e-12)
 
 
+def test_permutation_p_passes_the_driver_by(spark, roles, monkeypatch):
+    """The whole query broadcasts nothing from Python, and counts the table's draws."""
+    from tessera.operators import paired as P
+    from tessera.plans import queries
+
+    monkeypatch.setattr(queries, "PERMUTATIONS", 19)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: pytest.fail("broadcast from the driver"))
+    got = QUERIES["permutation_p_full"](spark, DATA).first()
+    dealt = {r.draw: round(r.mi, 12) for r in P.permutation_table(P.matched_weights(roles.edges()), 19, queries.SEED).collect()}
+    observed = dealt.pop(-1)
+    assert (got.observed, got.permutations) == (pytest.approx(observed, abs=1e-8), 19)
+    assert got.p_value == pytest.approx((1 + sum(x >= observed for x in dealt.values())) / 20, abs=1e-8)
+
+
 def test_full_draws(spark, roles):
     from tessera.plans.queries import FULL_DRAWS, SEED
 
